@@ -24,8 +24,8 @@ MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_r
 RULES: dict[str, str] = {
     "few_words": "n_words < 50",
     "repeated_words": "100 * n_repeat_words > 50 * n_words",
-    "symbols": "10 * n_symbols > word_chars",
-    "repeated_lines": "10 * n_dup_lines > 3 * n_lines",
+    "symbols": "20 * n_symbols > word_chars",
+    "repeated_lines": "10 * n_dup_lines > 5 * n_lines",
     "word_length": "n_words > 0 and (word_chars < 2 * n_words or word_chars > 30 * n_words)",
     "shouting": "n_upper > n_lower",
 }
@@ -150,7 +150,7 @@ m as (select d.rid, doc_id, len(w)::bigint as n_words, length(regexp_replace(t,
         (length(t) - length(regexp_replace(t, '[a-z]', '', 'g')))::bigint as n_lower
       from d join w using (rid) left join r using (rid)),
 f as (select *, (case when n_words < 50 then 1 else 0 end + case when 100 * n_repeat_words > 50 * n_words then 2 else 0 end
-        + case when 10 * n_symbols > word_chars then 4 else 0 end + case when 10 * n_dup_lines > 3 * n_lines then 8 else 0 end
+        + case when 20 * n_symbols > word_chars then 4 else 0 end + case when 10 * n_dup_lines > 5 * n_lines then 8 else 0 end
         + case when n_words > 0 and (word_chars < 2 * n_words or word_chars > 30 * n_words) then 16 else 0 end
         + case when n_upper > n_lower then 32 else 0 end)::bigint as failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 as base_failed,
