@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hitscope.llm import chat, quality, sharding
+from hitscope.llm import bpe, chat, langid, packing, quality, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": bpe.op1,
     "op2_sharding": sharding.op2,
+    "op5_packing": packing.op5,
+    "op6_language_id": langid.op6,
     "op8_chat_formatting": chat.op8,
     "op9_quality_rules": quality.op9,
+    "op10_simhash": simhash.op10,
 }
 
 SQL: dict[str, str] = {
