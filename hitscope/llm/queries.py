@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hitscope.llm import bpe, chat, langid, packing, quality, sharding, simhash
+from hitscope.llm import bpe, chat, langid, orderminhash, packing, quality, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1,
     "op2_sharding": sharding.op2,
+    "op3_order_minhash": orderminhash.op3,
     "op5_packing": packing.op5,
     "op6_language_id": langid.op6,
     "op8_chat_formatting": chat.op8,
