@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hitscope.llm import bpe, chat, langid, orderminhash, packing, quality, sharding, simhash
+from hitscope.llm import bpe, chat, langid, orderminhash, packing, quality, sharding, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1,
@@ -14,12 +14,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_order_minhash": orderminhash.op3,
     "op5_packing": packing.op5,
     "op6_language_id": langid.op6,
+    "op7_substring_dedup": substrings.op7,
     "op8_chat_formatting": chat.op8,
     "op9_quality_rules": quality.op9,
     "op10_simhash": simhash.op10,
 }
 
 SQL: dict[str, str] = {
+    "op7_substring_dedup": substrings.OP7_SQL,
     "op8_chat_formatting": chat.OP8_SQL,
     "op9_quality_rules": quality.OP9_SQL,
 }
