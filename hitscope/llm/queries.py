@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hitscope.llm import bpe, chat, langid, orderminhash, packing, quality, sharding, simhash, substrings
+from hitscope.llm import bpe, chat, langid, orderminhash, packing, pages, quality, sharding, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1,
     "op2_sharding": sharding.op2,
     "op3_order_minhash": orderminhash.op3,
+    "op4_html_text": pages.op4,
     "op5_packing": packing.op5,
     "op6_language_id": langid.op6,
     "op7_substring_dedup": substrings.op7,
