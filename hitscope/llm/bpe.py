@@ -15,6 +15,7 @@ import base64
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from hitscope.llm.common import documents
 
-#: Words kept in a worker's table, and characters taken together as one chunk of the corpus.
-TABLE_WORDS, CHUNK_CHARS = 300_000, 2_000_000
+#: Words in each of a worker's two tables, and characters taken together as one chunk of the corpus.
+TABLE_WORDS, CHUNK_CHARS = 500_000, 2_000_000
 
 #: Between a character outside [ \n] and one inside, no match of the pre-tokenizer's pattern runs on, if no other white space occurs.
 UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
@@ -53,18 +54,41 @@ def chunks(texts: list[str], most: int = CHUNK_CHARS) -> Iterator[list[str]]:
         yield held
 
 
+class Recent:
+    """What was last computed, in two tables of bounded size: when one is full, it becomes the older one, and what
+    is used again moves back."""
+
+    def __init__(self, most: int = TABLE_WORDS):
+        self.most, self.now, self.before = most, {}, {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """The keys in neither table; the others are in `now` afterwards."""
+        if len(self.now) > self.most:
+            self.now, self.before = {}, self.now
+        now, before, out = self.now, self.before, []
+        for k in keys:
+            if k not in now:
+                if k in before:
+                    now[k] = before[k]
+                else:
+                    out.append(k)
+        return out
+
+
 class MergeReplay:
     def __init__(self, path: str, pattern: str):
         import regex
 
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.vocab = {r: t for t, r in self.ranks.items()}
+        self.vocab = [b""] * (max(self.ranks.values()) + 1)
+        for t, r in self.ranks.items():
+            self.vocab[r] = t
         self.byte_ids = [self.ranks[bytes([b])] for b in range(256)]
         self.pattern = regex.compile(pattern)
         self.pairs: dict[tuple[int, int], int] = {}
-        self.table: dict[str, bytes] = {}
-        self.decimal: dict[int, bytes] = {r: str(r).encode() for r in self.vocab}
+        self.recent = Recent()
+        self.decimal = [str(r).encode() for r in range(len(self.vocab))]
 
     def _rank(self, a: int, b: int) -> int:
         r = self.ranks.get(self.vocab[a] + self.vocab[b], -1)
@@ -143,19 +167,18 @@ class MergeReplay:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """uint32 ids of each text."""
         split = [units(t) for t in texts]
-        table = self.table
-        if len(table) > TABLE_WORDS:
-            table.clear()
-        new = list({u for us in split for u in us if u not in table})
+        new = self.recent.missing({u for us in split for u in us})
+        table = self.recent.now
         parts = [[m.encode() for m in self.pattern.findall(u)] for u in new]
         words = list({w for ws in parts for w in ws})
-        ids = dict(zip(words, (np.array(x, np.uint32).tobytes() for x in self.replay(words)), strict=True))
+        ids = dict(zip(words, (array("I", x).tobytes() for x in self.replay(words)), strict=True))
         for u, ws in zip(new, parts, strict=True):
             table[u] = ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])
         return [np.frombuffer(b"".join([table[u] for u in us]), np.uint32) for us in split]
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.vocab.__getitem__, ids))
+        vocab = self.vocab
+        return b"".join([vocab[i] for i in ids])
 
 
 @lru_cache(maxsize=2)
@@ -213,13 +236,14 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path, pattern)
+        decimal = c.decimal
         for pdf in batches:
             rows = []
             texts = pdf["text"].fillna("").tolist()
             for part in chunks(texts):
                 for ids in c.encode(part):
                     plain = ids.tolist()
-                    written = b" ".join(map(c.decimal.__getitem__, plain))
+                    written = b" ".join([decimal[i] for i in plain])
                     rows.append((len(plain), hashlib.sha256(written).hexdigest(), hashlib.sha256(c.decode(plain)).hexdigest()))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())

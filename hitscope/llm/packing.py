@@ -25,11 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hitscope.llm.bpe import chunks, tokenizer_file, units
+from hitscope.llm.bpe import Recent, chunks, tokenizer_file, units
 from hitscope.llm.common import documents, materialize
 
 WINDOW, CLOSING = 1024, 0
-TABLE_WORDS = 300_000
 
 
 def closest_fill(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -126,16 +125,15 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.table: dict[str, bytes] = {}
+        self.recent = Recent()
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         split = [units(t) for t in texts]
-        if len(self.table) > TABLE_WORDS:
-            self.table.clear()
-        new = list({u for us in split for u in us if u not in self.table})
+        new = self.recent.missing({u for us in split for u in us})
+        table = self.recent.now
         for u, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.table[u] = np.array(e.ids, np.uint32).tobytes()
-        return [np.frombuffer(b"".join([self.table[u] for u in us]), np.uint32) for us in split]
+            table[u] = np.array(e.ids, np.uint32).tobytes()
+        return [np.frombuffer(b"".join([table[u] for u in us]), np.uint32) for us in split]
 
 
 @lru_cache(maxsize=2)

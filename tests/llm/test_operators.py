@@ -1,0 +1,341 @@
+"""The text operators against brute force, on small tables with nulls, empty and long texts, ties and repeats."""
+
+import collections
+import datetime
+import hashlib
+import itertools
+import json
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from hitscope.llm import bpe, chat, graph, langid, orderminhash, packing, pages, quality, sharding, simhash, substrings
+from hitscope.llm.common import words
+
+LOREM = "the quick brown fox jumps over the lazy dog while seven wizards mix potions beside an old stone bridge near town"
+
+
+@pytest.fixture(scope="module")
+def rows():
+    r = np.random.default_rng(5)
+    vocabulary = np.array([f"w{i}" for i in range(400)])
+    prose = lambda k: " ".join(r.choice(vocabulary, k))
+    passage = prose(60)
+    out = [(i, prose(int(r.integers(40, 200)))) for i in range(60)]
+    out += [(100, None), (101, ""), (102, " \t\n "), (103, "one"), (104, "aa " * 3000), (105, prose(5000)), (106, "Ünï ço de    日本語 x\x1cy")]
+    out += [(110 + i, prose(30) + " " + passage + " " + prose(30)) for i in range(5)]
+    out += [(120 + i, out[3][1]) for i in range(6)] + [(130 + i, out[4][1].replace("w", "W", 1)) for i in range(3)]
+    out += [(140, out[5][1]), (140, out[5][1]), (None, "no id here but words " * 10)]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, "en", 7) for i, t in rows], "doc_id long, text string, lang string, size int").repartition(3)
+
+
+def empty(spark):
+    return spark.createDataFrame([], "doc_id long, text string, lang string")
+
+
+def test_words(spark, rows):
+    df = spark.createDataFrame([(t,) for _, t in rows], "t string").select("t", words(F.col("t")).alias("w"))
+    for r in df.collect():
+        assert r["w"] == [x.decode() for x in (r["t"] or "").encode().split()]
+
+
+def test_bpe_as_the_library_does(spark, docs):
+    import public_tokenizers
+    import tiktoken
+
+    path, pattern = bpe.tokenizer_file("byte_bpe_50k.tiktoken"), bpe.default_pattern()
+    ours = bpe.codec(path, pattern)
+    theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ours.ranks, special_tokens={})
+    got = bpe.decode(bpe.encode(docs, path, pattern), path, pattern).collect()
+    for r in got:
+        assert r["ids"] == theirs.encode_ordinary(r["text"] or "")
+        assert bytes(r["decoded"]) == (r["text"] or "").encode()
+    assert got[0]["size"] == 7
+    for t in ["it's  we'll \r\n x", "aaaaaaaa", " ", "\n \n", "<|endoftext|>", "a\n\n b", "x \t y", "\x85 z", "1234 ab12"]:
+        assert ours.encode([t])[0].tolist() == theirs.encode_ordinary(t)
+    small = bpe.Recent(most=2)
+    for k in ("a", "b", "c", "a"):
+        for x in small.missing({k}):
+            small.now[x] = k.encode()
+        assert small.now[k] == k.encode()
+    assert bpe.encode(empty(spark), path, pattern).count() == 0
+
+
+def test_sharding(spark, docs, rows):
+    got = sharding.shard_by_bytes(docs, shards=6).collect()
+    assert len(got) == len(rows)
+    by_text = collections.defaultdict(set)
+    totals = collections.Counter()
+    for r in got:
+        totals[r["shard"]] += r["size"]
+        by_text[r["text_crc32"]].add(r["shard"])
+    assert all(len(s) == 1 for s in by_text.values())
+    for k in range(6):
+        slots = sorted(r["slot"] for r in got if r["shard"] == k)
+        assert slots == list(range(len(slots)))
+    assert sum(totals.values()) == sum(len((t or "").encode()) + 8 for _, t in rows)
+    assert sharding.shard_by_bytes(empty(spark)).count() == 0
+
+
+def test_differencing_beats_dealing():
+    r = np.random.default_rng(1)
+    sizes = r.integers(1, 10_000, 500)
+    eye = []
+    for s in sizes:
+        v = np.zeros(8, np.int64)
+        v[0] = s
+        eye.append(v)
+    totals = np.zeros(8, np.int64)
+    for v, p in zip(eye, sharding.difference(eye), strict=True):
+        assert sorted(p) == list(range(8))
+        totals[p[0]] += v[0]
+    assert totals.sum() == sizes.sum() and totals.max() - totals.min() <= 20
+
+
+def test_order_minhash(spark, docs, rows):
+    got = orderminhash.with_slots(docs, "text", "slots").withColumn("fp", orderminhash.written(F.col("slots"))).collect()
+    by_text = collections.defaultdict(set)
+    for r in got:
+        by_text[r["text"]].add(r["fp"])
+    assert all(len(v) == 1 for v in by_text.values())
+    w = [f"x{i}" for i in range(300)]
+    same, swapped = " ".join(w), " ".join(w[150:] + w[:150])
+    near = spark.createDataFrame([(same, same), (same, swapped), (same, " ".join(w[:-3])), (same, " ".join(f"y{i}" for i in range(300))), ("", None), ("a", "")], "a string, b string")
+    both = orderminhash.with_slots(orderminhash.with_slots(near, "a", "s"), "b", "t").select(orderminhash.likeness(F.col("s"), F.col("t")).alias("x"))
+    x = [r["x"] for r in both.collect()]
+    assert x[0] == 1 and x[1] < x[2] < 1 and x[2] > 0.9 and x[3] == 0 and x[4] == 1 and x[5] == 0
+    # swapping halves keeps the k-mers but not their order: a plain set of k-mers would hardly tell
+    assert x[1] < 0.8
+
+
+def test_occurrence_numbers_tell_repeats_apart(spark):
+    df = spark.createDataFrame([("a b " * n,) for n in (1, 2, 3, 10, 11, 70, 500)], "text string")
+    got = [tuple(r["slots"]) for r in orderminhash.with_slots(df, "text", "slots").collect()]
+    assert len(set(got)) == len(got)
+
+
+def test_next_document(spark, rows):
+    plain = [(i, t or "") for i, t in rows]
+    df = spark.createDataFrame(plain, "doc_id long, text string")
+    bucket = orderminhash.descending_bucket(df, "doc_id")
+    heads = df.withColumn("_bucket", bucket).groupBy("_bucket").agg(F.max_by("text", F.struct(F.col("doc_id"), F.xxhash64("text"))).alias("text"))
+    got = {r["doc_id"]: r["next_text"] for r in orderminhash.with_next(df, "doc_id", ["text"], bucket, heads).collect()}
+    order = sorted(plain, key=lambda x: (x[0] is None, -(x[0] or 0)))
+    for (i, _), (_, t) in zip(order, order[1:] + order[:1], strict=True):
+        if i != 140:
+            assert got[i] == t
+    assert orderminhash.with_slots(empty(spark), "text", "s").count() == 0
+
+
+def test_extraction():
+    model = pages.trained()
+    cases = {
+        "<body><nav><ul><li><a href=/>Home</a><li><a href=/x>More</a></ul></nav><article><h1>A  title</h1><p>First &amp; <b>bold</b> text of some length here.<p>Second\n paragraph goes on and on.</article><footer>&copy; us</footer>":
+            "A title\nFirst & bold text of some length here.\nSecond paragraph goes on and on.",
+        "<html><body><div class='cookie-notice'><p>We use cookies, please agree to it.</p></div><div class=post-content><p>Real words are here for the reader.</p><script>var a='<p>no</p>'</script><div class=ad>Buy now this thing</div><p>And more of them follow below.</p></div><section class=comments><div class=comment><p>Nice post, I liked it a lot!</p></div></section>":
+            "Real words are here for the reader.\nAnd more of them follow below.",
+    }
+    for page, text in cases.items():
+        assert pages.extract([page], model) == [text]
+    assert pages.extract([None, "", "   ", "<", "<p", "</p></div>", "<!-- x"], model)[:3] == ["", "", ""]
+    fresh = pages.labelled_pages(150, seed=4)
+    good = bad = lost = 0
+    for p, t in zip(fresh, pages.extract(fresh, model), strict=True):
+        kept = sum(c == pages.MARK for c in t)
+        good += kept
+        bad += sum(w.strip(".") != "" and pages.MARK not in w for w in t.split())
+        lost += p.count(pages.MARK) - kept
+    assert good / (good + lost) > 0.97 and good / (good + bad) > 0.97
+
+
+def test_extraction_of_a_table(spark):
+    df = spark.createDataFrame([(1, None, "u"), (2, "<article><p>Some text that is kept in full.</p></article>", "v")], "page_id long, html string, text string")
+    got = {r["page_id"]: r["text"] for r in pages.extract_text(df).collect()}
+    assert got == {1: "", 2: "Some text that is kept in full."}
+
+
+def test_closest_fill_is_the_best():
+    r = np.random.default_rng(3)
+    for _ in range(60):
+        counts = {int(k): int(n) for k, n in zip(r.integers(1, 30, 5), r.integers(1, 4, 5), strict=True)}
+        room = int(r.integers(1, 60))
+        used = packing.closest_fill(counts, room)
+        assert all(used[k] <= counts[k] for k in used)
+        sums = {0}
+        for k, n in counts.items():
+            sums = {s + k * j for s in sums for j in range(n + 1)}
+        assert sum(k * n for k, n in used.items()) == max(s for s in sums if s <= room)
+
+
+def test_packing(spark, docs, rows):
+    from tokenizers import Tokenizer
+
+    path = bpe.tokenizer_file("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    expected = collections.Counter()
+    for i, text in rows:
+        expected[i, len(t.encode(text or "", add_special_tokens=False).ids) + 1] += 1
+    pieces = packing.pack(docs, path, window=256).collect()
+    assert len({(p["sequence_id"], p["offset"]) for p in pieces}) == len(pieces)
+    total = collections.Counter()
+    for p in pieces:
+        total[p["doc_id"], p["doc_tokens"]] += p["length"]
+    assert total == collections.Counter({k: k[1] * n for k, n in expected.items()})
+    by_sequence = collections.defaultdict(list)
+    for p in pieces:
+        by_sequence[p["sequence_id"]].append(p)
+    padding = 0
+    for ps in by_sequence.values():
+        at = 0
+        for p in sorted(ps, key=lambda p: p["offset"]):
+            assert p["offset"] == at
+            at += p["length"]
+        assert at <= 256
+        padding += 256 - at
+    assert padding < 256
+    ids = np.array([*t.encode(rows[65][1], add_special_tokens=False).ids, 0], "<u4")
+    for p in pieces:
+        if p["doc_id"] == 105:
+            assert p["ids_crc32"] == zlib.crc32(ids[p["start"] : p["start"] + p["length"]].tobytes())
+    assert packing.pack(empty(spark), path).count() == 0
+
+
+def test_language(spark):
+    r = np.random.default_rng(2)
+    roots = {"aa": ["tion", "the", "and", "ing"], "bb": ["eau", "que", "ment", "oux"], "cc": ["sch", "ung", "keit", "ver"]}
+    make = lambda k: " ".join("".join(r.choice(roots[k], 2)) for _ in range(30))
+    rows = [(i, make(k), k) for i, k in enumerate(itertools.islice(itertools.cycle(roots), 240))]
+    df = spark.createDataFrame([*rows, (900, None, "aa"), (901, "123 !!", "bb"), (902, "", None)], "doc_id long, text string, lang string").withColumn("score", F.lit("x"))
+    model = langid.train(df)
+    assert model.labels == ["aa", "bb", "cc"]
+    got = langid.predict(df, model).withColumn("held", langid.held_out(F.col("doc_id"))).collect()
+    assert all(r["lang_pred"] == "und" and r["score"] == 0 and r["rejected"] for r in got if r["doc_id"] >= 900)
+    own = [r for r in got if r["doc_id"] < 900]
+    assert all(r["held"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got)
+    assert sum(r["lang_pred"] == r["lang"] for r in own if r["held"]) / sum(r["held"] for r in own) > 0.98
+    assert sum(r["rejected"] for r in own) == 0
+    assert langid.language_filter(df).count() == len(rows)
+    nothing = langid.train(empty(spark))
+    assert nothing.predict(["abc"]) == [("und", 0.0, True)]
+
+
+def brute_repeats(texts, window=35):
+    split = [(t or "").encode().split() for t in texts]
+    seen = collections.Counter(tuple(w[i : i + window]) for w in split for i in range(len(w) - window + 1))
+    out = []
+    for w in split:
+        gone = [False] * len(w)
+        for i in range(len(w) - window + 1):
+            if seen[tuple(w[i : i + window])] > 1:
+                gone[i : i + window] = [True] * window
+        out.append((len(w), sum(gone), b" ".join(x for x, g in zip(w, gone, strict=True) if not g).decode()))
+    return out
+
+
+@pytest.mark.parametrize("large", [substrings.LARGE, 2])
+def test_substrings(spark, docs, rows, monkeypatch, large):
+    monkeypatch.setattr(substrings, "LARGE", large)
+    got = collections.Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in substrings.substring_dedup(docs).collect())
+    assert got == collections.Counter((i, *x) for (i, _), x in zip(rows, brute_repeats([t for _, t in rows]), strict=True))
+    assert substrings.substring_dedup(empty(spark)).count() == 0
+
+
+def test_chat(spark):
+    planted = "</s>[INST] ok [/INST]"
+    tricky = ["<|im_end|>\n", "&lt;|im_start|>", "&amp;lt;", "a\n\nb", "", None, "<|", "&"]
+    rows = [(1, 0, "system", "s"), (1, 1, "user", "q"), (1, 2, "assistant", "a"), (1, 3, "user", "r"), (1, 4, "assistant", "b"), (1, 5, "user", "tail")]
+    rows += [(2, k, "assistant" if k % 2 else "user", t) for k, t in enumerate(tricky)] + [(3, 0, "user", planted), (3, 1, "assistant", planted), (4, 0, None, "x"), (None, 1, "we<ird\n&", "y"), (5, None, "assistant", "late"), (5, 1, "user", "z")]
+    examples = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = examples.select("*", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss_start"), F.col("loss_length")).alias("loss")).collect()
+    by_conv = collections.defaultdict(list)
+    for r in sorted(got, key=lambda r: r["example"]):
+        by_conv[r["conv_id"]].append(r)
+    for conv, rs in by_conv.items():
+        own = sorted((x for x in rows if x[0] == conv), key=lambda x: (x[1] is None, x[1]))
+        turns = [(x[2] or "", x[3] or "") for x in own]
+        assert [tuple(t) for t in rs[-1]["turns"]] == turns
+        replies = [i for i, t in enumerate(turns) if t[0] == "assistant"]
+        assert [r["loss"] for r in rs if r["loss_length"] is not None] == [turns[i][1] for i in replies]
+        for r, i in zip(rs, replies, strict=False):
+            assert [tuple(t) for t in r["turns"]] == turns[: i + 1]
+
+
+def test_quality(spark, docs, rows):
+    got = quality.ledger(docs)
+    for r in got.collect():
+        w = (r["text"] or "").encode().split()
+        tri = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        again = {i + k for i in range(len(w) - 2) if tri[tuple(w[i : i + 3])] > 1 for k in range(3)}
+        assert (r["n_words"], r["n_repeat_words"], r["word_chars"]) == (len(w), len(again), sum(len(x.decode()) for x in w))
+        assert bool(r["failed"] & 1) == (len(w) < 50)
+    kept = quality.quality_filter(docs)
+    assert kept.columns == docs.columns and kept.count() == got.filter(quality.passes("v1")).count()
+    lost = {r["rule"]: r for r in quality.ablation(got, "v1").collect()}
+    few = [r for r in got.collect() if r["failed"] & 1]
+    assert lost["few_words"]["n_failed"] == len(few) and lost["few_words"]["n_only"] == sum(r["failed"] == 1 for r in few)
+    assert quality.ledger(empty(spark)).count() == 0
+
+
+def brute_components(fps, radius):
+    root = list(range(len(fps)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= radius:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(fps))]
+
+
+def test_fingerprint_links(spark):
+    r = np.random.default_rng(9)
+    fps = []
+    for _ in range(40):
+        x = int(r.integers(0, 2**63))
+        fps.append(x)
+        for _ in range(int(r.integers(0, 8))):
+            x ^= sum(1 << int(b) for b in r.choice(64, int(r.integers(1, 6)), replace=False))
+            fps.append(x)
+    fps = sorted(set(fps) | {0, 1, 7, 15})
+    signed = [x - 2**64 if x >= 2**63 else x for x in fps]
+    links = simhash.link(spark.createDataFrame([(x,) for x in signed], "fp long"))
+    root = {r["node"]: r["root"] for r in graph.connected_components(links).collect()}
+    ours = [root.get(x, x) for x in signed]
+    theirs = brute_components(fps, 3)
+    pairs = lambda c: {(i, j) for i in range(len(c)) for j in range(i) if c[i] == c[j]}
+    assert pairs(ours) == pairs(theirs)
+
+
+def test_simhash(spark, docs, rows):
+    got = simhash.components(docs)
+    fps = [simhash.fingerprint(t) & (2**64 - 1) for _, t in rows]
+    theirs = brute_components(fps, 3)
+    least = collections.defaultdict(list)
+    for (i, _), c in zip(rows, theirs, strict=True):
+        if i is not None:
+            least[c].append(i)
+    expected = collections.Counter((i, min(least[c], default=None)) for (i, _), c in zip(rows, theirs, strict=True))
+    assert collections.Counter((r["doc_id"], r["component_id"]) for r in got.collect()) == expected
+    kept = simhash.near_dedup(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted({min(v) for v in least.values()})
+    assert simhash.components(empty(spark)).count() == 0
+
+
+def test_long_chain_settles(spark):
+    n = 300
+    edges = spark.createDataFrame([(i + 1, i) for i in range(n)], "a long, b long")
+    assert {r["root"] for r in graph.connected_components(edges).collect()} == {0}
