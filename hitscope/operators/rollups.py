@@ -7,11 +7,12 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_HITS = F.count(F.lit(1)).cast("bigint").alias("hits")
 
-
-def _errors() -> Column:
-    return F.count_if(F.col("status") >= 400).cast("bigint").alias("errors")
+def _sums() -> dict[str, Column]:
+    return {
+        "hits": F.count(F.lit(1)).cast("bigint").alias("hits"), "bytes": F.sum("bytes").alias("bytes"),
+        "errors": F.count_if(F.col("status") >= 400).cast("bigint").alias("errors"),
+    }
 
 
 KEYS = {
@@ -32,7 +33,7 @@ def build(events: DataFrame, name: str) -> DataFrame:
         rows = rows.filter("ai_referral != ''")
     if name == "daily_page_ai_stats":
         rows = rows.filter(F.startswith("actor_type", F.lit("ai_")))
-    sums = {"hits": _HITS, "bytes": F.sum("bytes").alias("bytes"), "errors": _errors()}
+    sums = _sums()
     return rows.groupBy(*KEYS[name]).agg(*[sums[s] for s in SUMS[name]])
 
 
