@@ -12,6 +12,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hitscope.functions.ip import let
 from hitscope.registry import GENERIC_IDENTITIES, has_generic_identity
 
 META = re.compile(r"[\\^$.*+?()\[\]{}|]")
@@ -40,11 +41,11 @@ def _literal(tokens: list[str]) -> str:
 def _lookup(ua: Column, owners: dict[str, Column]) -> Column:
     """The result of the leftmost, longest token in ua; null if there is none."""
     if not owners:
-        return F.lit(None)
+        return F.lit(None).cast("struct<actor_type:string,bot_id:string,operator:string>")
     longest = sorted(owners, key=lambda t: (-len(t), t))
     found = F.lower(F.regexp_extract(ua, f"(?i)({_literal(longest)})", 1))
     table = F.create_map(*[x for t in owners for x in (F.lit(t), owners[t])])
-    return F.when(found != "", F.try_element_at(table, found))
+    return let(found, lambda f: F.when(f != "", F.try_element_at(table, f)))
 
 
 def classify(ua: Column, bots: list[dict[str, Any]]) -> Column:
@@ -67,16 +68,12 @@ def classify(ua: Column, bots: list[dict[str, Any]]) -> Column:
             else:
                 strong.setdefault(plain.lower(), _of(e))
     patterns.sort(key=lambda x: x[0])
-    out = F.when(F.trim(F.coalesce(ua, F.lit(""))).isin("", "-"), _result("other_bot"))
-    by_token = _lookup(ua, strong)
-    out = out.when(by_token.isNotNull(), by_token) if strong else out
-    for _, p, result in patterns:
-        out = out.when(ua.rlike(p), result)
-    out = out.when(ua.rlike(DEVICES), _result("human"))
-    if weak:
-        by_word = _lookup(ua, weak)
-        out = out.when(by_word.isNotNull(), by_word)
-    return out.when(ua.rlike("(?i)" + "|".join(GENERIC_SIGNS)), _result("other_bot")).otherwise(_result("human"))
+    blank = F.trim(F.coalesce(ua, F.lit(""))).isin("", "-")
+    return F.coalesce(
+        F.when(blank, _result("other_bot")), _lookup(ua, strong), *[F.when(ua.rlike(p), result) for _, p, result in patterns],
+        F.when(ua.rlike(DEVICES), _result("human")), _lookup(ua, weak),
+        F.when(ua.rlike("(?i)" + "|".join(GENERIC_SIGNS)), _result("other_bot")), _result("human"),
+    )
 
 
 def classify_distinct(df: DataFrame, bots: list[dict[str, Any]], ua: str = "ua", out: str = "agent") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hitscope.functions.ip import let
+
 #: Assistant, host pattern, path pattern ('' for any), in order. Fixed values.
 REFERRERS = [
     ("chatgpt", r"(^|\.)chatgpt\.com$", ""), ("chatgpt", r"^chat\.openai\.com$", ""), ("perplexity", r"(^|\.)perplexity\.ai$", ""),
@@ -49,21 +51,29 @@ def _clean(url: Column) -> Column:
 
 def referral(referer: Column, query_string: Column) -> Column:
     """The assistant that sent the visit, or ''. The referer counts before utm_source."""
-    r = _clean(F.coalesce(referer, F.lit("")))
-    bare = ~r.rlike(r"(?i)^[a-z][a-z0-9+.-]*:") & r.rlike(_BARE)
-    url = F.when(bare, F.concat(F.lit("https://"), r)).otherwise(r)
-    scheme, host = F.lower(_part(url, 1)), F.lower(_part(url, 2))
-    path = _part(url, 4)
-    web = scheme.isin("http", "https") & (host != "")
-    by_host = F.lit("")
-    for source, pattern, where in reversed(REFERRERS):
-        hit = web & host.rlike(pattern)
-        by_host = F.when(hit & path.rlike(where) if where else hit, source).otherwise(by_host)
-    q = F.regexp_replace(F.coalesce(query_string, F.lit("")), r"^\?", "")
-    raw = F.regexp_extract(q, r"(?:^|&)utm_source=([^&]*)", 1)
-    value = F.lower(F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit(" "))), raw))
-    by_utm = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in UTM_SOURCES.items() for x in kv]), value), F.lit(""))
-    return F.when(by_host != "", by_host).otherwise(by_utm)
+    utm = F.map_from_arrays(F.array(*map(F.lit, UTM_SOURCES)), F.array(*map(F.lit, UTM_SOURCES.values())))
+
+    def as_url(r: Column) -> Column:
+        bare = ~r.rlike(r"(?i)^[a-z][a-z0-9+.-]*:") & r.rlike(_BARE)
+        return F.when(bare, F.concat(F.lit("https://"), r)).otherwise(r)
+
+    def host_of(url: Column) -> Column:
+        return F.struct(F.lower(_part(url, 1)).alias("scheme"), F.lower(_part(url, 2)).alias("host"), _part(url, 4).alias("path"))
+
+    def by_host(u: Column) -> Column:
+        named = F.lit("")
+        for source, pattern, where in reversed(REFERRERS):
+            hit = u["host"].rlike(pattern)
+            named = F.when(hit & u["path"].rlike(where) if where else hit, source).otherwise(named)
+        return F.when(u["scheme"].isin("http", "https") & (u["host"] != ""), named)
+
+    def by_utm(q: Column) -> Column:
+        raw = F.regexp_extract(F.regexp_replace(q, r"^\?", ""), r"(?:^|&)utm_source=([^&]*)", 1)
+        value = let(raw, lambda v: F.lower(F.coalesce(F.try_url_decode(F.replace(v, F.lit("+"), F.lit(" "))), v)))
+        return F.try_element_at(utm, value)
+
+    from_host = let(let(let(_clean(F.coalesce(referer, F.lit(""))), as_url), host_of), by_host)
+    return F.coalesce(F.nullif(from_host, F.lit("")), by_utm(F.coalesce(query_string, F.lit(""))), F.lit(""))
 
 
 def referer_origin(referer: Column) -> Column:
@@ -71,12 +81,20 @@ def referer_origin(referer: Column) -> Column:
 
     Hosts beyond ASCII are left out ('') here; `idna_origin` gives their ASCII form.
     """
-    r = _clean(F.coalesce(referer, F.lit("")))
-    scheme, host, port = F.lower(_part(r, 1)), F.lower(_part(r, 2)), F.regexp_replace(_part(r, 3), "^0+(?=.)", "")
-    default = F.when(scheme == "http", "80").otherwise("443")
-    origin = F.concat(scheme, F.lit("://"), host, F.when((port == "") | (port == default), "").otherwise(F.concat(F.lit(":"), port)))
-    ok = scheme.isin("http", "https") & host.rlike(r"\A(\[[0-9a-f:.]+\]|[a-z0-9._~!$&'()*+,;=-]+)\z") & (F.char_length(origin) <= 255) & (F.coalesce(port.try_cast("int"), F.lit(0)) <= 65535)
-    return F.when(ok, origin).otherwise("")
+
+    def parts(r: Column) -> Column:
+        return F.struct(F.lower(_part(r, 1)).alias("scheme"), F.lower(_part(r, 2)).alias("host"), F.regexp_replace(_part(r, 3), "^0+(?=.)", "").alias("port"))
+
+    def origin(u: Column) -> Column:
+        default = F.when(u["scheme"] == "http", "80").otherwise("443")
+        text = F.concat(u["scheme"], F.lit("://"), u["host"], F.when(u["port"].isin("") | (u["port"] == default), "").otherwise(F.concat(F.lit(":"), u["port"])))
+        ok = (
+            u["scheme"].isin("http", "https") & u["host"].rlike(r"\A(\[[0-9a-f:.]+\]|[a-z0-9._~!$&'()*+,;=-]+)\z")
+            & (F.coalesce(u["port"].try_cast("int"), F.lit(0)) <= 65535)
+        )
+        return F.when(ok, let(text, lambda t: F.when(F.char_length(t) <= 255, t)))
+
+    return F.coalesce(let(let(_clean(F.coalesce(referer, F.lit(""))), parts), origin), F.lit(""))
 
 
 def idna_origin(referer: Column) -> Column:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from hitscope import registry
@@ -99,6 +102,20 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich(raw(spark, sf_dir), dimensions(spark), SECRET)
 
 
+_stored: dict[tuple[str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The enriched log as the table that panels read, written once a session to the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="hitscope-")
+        path = f"{shared.rstrip('/')}/hitscope/events-{uuid.uuid4().hex}"
+        enriched(spark, sf_dir).write.parquet(path)
+        _stored[key] = path
+    return spark.read.parquet(_stored[key])
+
+
 def panels(spark: SparkSession, sf_dir: str, site: str | None = None, as_of: dt.datetime = AS_OF) -> Panels:
-    events = enriched(spark, sf_dir)
+    events = stored(spark, sf_dir)
     return Panels(events, as_of, {name: rollups.build(events, name) for name in rollups.KEYS}, site)

@@ -107,12 +107,12 @@ _VENDORS = f"""{_CRAWLS}, {_CLICKS}, m(operator, source) as (values {_MAP}),
 
 
 def _rollup(name: str) -> Query:
-    return lambda spark, sf_dir: _plain(rollups.build(derived.enriched(spark, sf_dir), name))
+    return lambda spark, sf_dir: _plain(rollups.build(derived.stored(spark, sf_dir), name))
 
 
 def _rollup_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two halves built apart and merged, against the whole: no row."""
-    events = derived.enriched(spark, sf_dir)
+    events = derived.stored(spark, sf_dir)
     out = None
     for name in rollups.KEYS:
         halves = [rollups.build(events.filter(F.col("bytes") % 2 == k), name) for k in (0, 1)]
@@ -220,9 +220,9 @@ QUERIES: dict[str, Query] = {
     "referral_class": _raw(lambda r: r.select("referer", "path").distinct().select("referer", "path", request.referral(F.col("referer"), request.query(F.col("path"))).alias("source"))),
     "ua_class": _raw(lambda r: r.select("ua").distinct().withColumn("c", classify(F.col("ua"), registry.entries())).select("ua", "c.*")),
     "ip_network": _ip_network,
-    "ip_verify": lambda s, d: derived.enriched(s, d).filter("bot_id != ''").groupBy("bot_id", "bot_ip", "verification").agg(F.count(F.lit(1)).alias("hits")),
+    "ip_verify": lambda s, d: derived.stored(s, d).filter("bot_id != ''").groupBy("bot_id", "bot_ip", "verification").agg(F.count(F.lit(1)).alias("hits")),
     "merged_ranges": _merged_ranges,
-    "sessions": lambda s, d: _plain(derived.enriched(s, d).groupBy("session_id").agg(F.count(F.lit(1)).alias("hits"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))),
+    "sessions": lambda s, d: _plain(derived.stored(s, d).groupBy("session_id").agg(F.count(F.lit(1)).alias("hits"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))),
     "daily_bot_stats": _rollup("daily_bot_stats"),
     "daily_page_stats": _rollup("daily_page_stats"),
     "daily_referrals": _rollup("daily_referrals"),
