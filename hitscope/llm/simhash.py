@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from hitscope.llm.common import documents, materialize
 from hitscope.llm.graph import connected_components
+from hitscope.llm.nearcopies import one_each, row_hashes
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 
@@ -125,12 +126,17 @@ def components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) ->
 
 
 def near_dedup(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One document of each component, with its own columns: that of the smallest doc_id (one of them, if repeated)."""
-    kept = components(docs, shingle, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    names = docs.columns
-    rest = [F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")]
-    found = docs.select(F.col("doc_id").cast("long").alias("_id"), *rest).join(kept, F.col("_id").eqNullSafe(F.col("doc_id")), "left_semi")
-    return found.groupBy("_id").agg(F.min("_row").alias("_row")).select("_row.*")
+    """One document of each component, with its own columns: that of the smallest doc_id, nulls last."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf["fp"] = np.array([fingerprint(t, shingle) for t in pdf["text"]], np.int64)
+            yield pdf.drop(columns="text")
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_hashes(docs), "text")
+    marked = materialize(rows.mapInPandas(run, "doc_id long, _r long, _q long, fp long"), "simhash")
+    roots = connected_components(link(marked.select("fp").distinct(), radius)).withColumnRenamed("node", "fp")
+    return one_each(docs, marked.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,3 +79,11 @@ def test_ids_null_or_repeated(spark):
     got = {(r["doc_id"], r["text"]) for r in nearcopies.near_dedup(docs).collect()}
     assert got == {(None, a), (None, b), (None, None), (1, c), (0, d)}
     assert nearcopies.near_dedup(docs.limit(0)).count() == 0
+
+
+def test_simhash_survivors_with_ids_null_or_repeated(spark):
+    r = np.random.default_rng(4)
+    a, b, c, d = (" ".join(r.choice([f"w{i}" for i in range(900)], 60)) for _ in range(4))
+    docs = spark.createDataFrame([(None, a), (None, b), (1, c), (1, d), (0, d), (0, d)], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["text"]) for r in simhash.near_dedup(docs).collect()), key=str)
+    assert got == sorted([(None, a), (None, b), (1, c), (0, d)], key=str)
