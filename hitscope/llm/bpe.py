@@ -16,29 +16,43 @@ import hashlib
 import heapq
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitscope.llm.common import documents
 
-#: Words in each of a worker's two tables, and characters taken together as one chunk of the corpus.
-TABLE_WORDS, CHUNK_CHARS = 500_000, 2_000_000
+#: Bytes of each of a worker's two tables, the longest piece they keep, and characters taken together as one chunk of the corpus.
+TABLE_BYTES, LONGEST_KEPT, CHUNK_CHARS = 96_000_000, 64, 1_000_000
+#: About what a table entry takes besides its own characters.
+ENTRY_BYTES = 150
 
-#: Between a character outside [ \n] and one inside, no match of the pre-tokenizer's pattern runs on, if no other white space occurs.
-UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-OTHER_SPACE = re.compile(r"[^\S \n]")
+#: No match of the pre-tokenizer's pattern goes on from a character that is not white space to one that is.
+CUT = re.compile(r"(?<=\S)(?=[ \n])")
+RUN = re.compile(r"\s[ \n\v]")
 
 
-def units(text: str) -> list[str]:
-    """Pieces of a text that the pre-tokenizer treats independently of each other."""
-    if OTHER_SPACE.search(text):
-        return [text]
-    return UNIT.findall(text)
+def _runs(text: str) -> bool:
+    """Whether white space of the text must stay together, or could be taken for the mark of a first piece."""
+    return text[:1] == "\v" or RUN.search(text) is not None
+
+
+def pieces(text: str) -> list[str]:
+    """Pieces of a text that the pre-tokenizer treats independently of each other, as keys: one that starts with \\v
+    stands for what follows it, one that starts with a line break for itself, any other for itself after a space."""
+    if _runs(text):
+        return ["\v" + p for p in CUT.split(text)]
+    return ("\v" + text).replace("\n", " \n").split(" ")
+
+
+def verbatim(piece: str) -> str:
+    return piece[1:] if piece[:1] == "\v" else piece if piece[:1] == "\n" else " " + piece
 
 
 def chunks(texts: list[str], most: int = CHUNK_CHARS) -> Iterator[list[str]]:
@@ -55,23 +69,49 @@ def chunks(texts: list[str], most: int = CHUNK_CHARS) -> Iterator[list[str]]:
 
 
 class Recent:
-    """What was last computed, in two tables of bounded size: when one is full, it becomes the older one, and what
-    is used again moves back."""
-
-    def __init__(self, most: int = TABLE_WORDS):
-        self.most, self.now, self.before = most, {}, {}
-
-    def missing(self, keys: set[str]) -> list[str]:
-        """The keys in neither table; the others are in `now` afterwards."""
-        if len(self.now) > self.most:
-            self.now, self.before = {}, self.now
-        now, before, out = self.now, self.before, []
-        for k in keys:
-            if k not in now:
-                if k in before:
-                    now[k] = before[k]
-                else:
-                    out.append(k)
+    """The ids, as bytes, of the pieces last seen, in two tables of bounded size: when one is full, it becomes the
+    older one, and what is used again moves back. Long pieces stay for one chunk only."""
+
+    def __init__(self, most: int = TABLE_BYTES):
+        self.most, self.size = most, 0
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def _add(self, found: dict[str, bytes]) -> None:
+        self.now.update(found)
+        self.size += ENTRY_BYTES * len(found) + sum(map(len, found.values()))
+
+    def ids(self, texts: list[str], encode: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """The ids of whole texts. encode: gives those of pieces, verbatim, that are not in the tables."""
+        if self.size > self.most:
+            self.now, self.before, self.size = {}, self.now, 0
+        runs = list(map(_runs, texts))
+        plain = pa.array(["\v" + t for t, r in zip(texts, runs, strict=True) if not r], pa.large_string())
+        split = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
+        coded = split.values.dictionary_encode()
+        others = [pieces(t) for t, r in zip(texts, runs, strict=True) if r]
+        keys = coded.dictionary.to_pylist()
+        missing = set(keys).union(*others).difference(self.now)
+        old = missing.intersection(self.before)
+        self._add({k: self.before[k] for k in old})
+        new = list(missing - old)
+        self._add(dict(zip(new, encode(list(map(verbatim, new))), strict=True)))
+        get = self.now.__getitem__
+        found = list(map(get, keys))
+        # the ids of all plain texts in a row, gathered from those of the distinct pieces
+        size = np.array(list(map(len, found)), np.int32) // 4
+        pool = np.frombuffer(b"".join(found), np.uint32)
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        n = size[at]
+        ends = np.cumsum(n, dtype=np.int32)
+        begin = np.cumsum(size, dtype=np.int32) - size
+        raw = pool[np.repeat(begin[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)].tobytes()
+        cuts = (4 * np.concatenate(([0], ends))[split.offsets.to_numpy()]).tolist()
+        whole, rest = (raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)), iter(others)
+        out = [b"".join(map(get, next(rest))) if r else next(whole) for r in runs]
+        for p in new:
+            if len(p) > LONGEST_KEPT:
+                self.size -= ENTRY_BYTES + len(self.now.pop(p))
         return out
 
 
@@ -166,15 +206,13 @@ class MergeReplay:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """uint32 ids of each text."""
-        split = [units(t) for t in texts]
-        new = self.recent.missing({u for us in split for u in us})
-        table = self.recent.now
-        parts = [[m.encode() for m in self.pattern.findall(u)] for u in new]
+        return [np.frombuffer(x, np.uint32) for x in self.recent.ids(texts, self._new)]
+
+    def _new(self, new: list[str]) -> list[bytes]:
+        parts = [[m.encode() for m in self.pattern.findall(p)] for p in new]
         words = list({w for ws in parts for w in ws})
         ids = dict(zip(words, (array("I", x).tobytes() for x in self.replay(words)), strict=True))
-        for u, ws in zip(new, parts, strict=True):
-            table[u] = ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])
-        return [np.frombuffer(b"".join([table[u] for u in us]), np.uint32) for us in split]
+        return [ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws]) for ws in parts]
 
     def decode(self, ids: list[int]) -> bytes:
         vocab = self.vocab

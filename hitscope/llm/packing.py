@@ -25,10 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hitscope.llm.bpe import Recent, chunks, tokenizer_file, units
+from hitscope.llm.bpe import Recent, chunks, tokenizer_file
 from hitscope.llm.common import documents, materialize
 
 WINDOW, CLOSING = 1024, 0
+#: Rows of the table of first ranks up to which it is broadcast (some 40 bytes each); a larger one is joined by a shuffle.
+BROADCAST_ROWS = 100_000
+#: Characters of new pieces that the tokenizer gets as one text.
+JOINED_CHARS = 4000
 
 
 def closest_fill(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -117,6 +121,10 @@ def plan(histogram: dict[int, int], window: int = WINDOW) -> tuple[list[tuple[in
 
 
 class Tokens:
+    """Ids by the library. New pieces are encoded together, strung into longer texts where that changes no piece's
+    ids, and taken apart by their lengths in bytes. A text that holds an added token's string goes to the library
+    whole, since the library cuts texts there first."""
+
     def __init__(self, path: str):
         import os
 
@@ -124,16 +132,49 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        n = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.bytes_of = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(n)], np.int64)
         self.recent = Recent()
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        split = [units(t) for t in texts]
-        new = self.recent.missing({u for us in split for u in us})
-        table = self.recent.now
-        for u, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            table[u] = np.array(e.ids, np.uint32).tobytes()
-        return [np.frombuffer(b"".join([table[u] for u in us]), np.uint32) for us in split]
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new(self, new: list[str]) -> list[bytes]:
+        """The ids of each piece."""
+        out = [b""] * len(new)
+        whole = [i for i, s in enumerate(new) if s and (s[0] not in " \n" or s[-1].isspace())]
+        for i, ids in zip(whole, self._encoded([new[i] for i in whole]), strict=True):
+            out[i] = ids.tobytes()
+        taken = set(whole)
+        strung = [i for i, s in enumerate(new) if s and i not in taken]
+        texts: list[list[str]] = []
+        size = JOINED_CHARS
+        for i in strung:
+            if size >= JOINED_CHARS:
+                texts.append([])
+                size = 0
+            texts[-1].append(new[i])
+            size += len(new[i])
+        if strung:
+            ids = np.concatenate(self._encoded(["".join(t) for t in texts]))
+            ends = np.cumsum([len(new[i].encode()) for i in strung])
+            reached = np.cumsum(self.bytes_of[ids])
+            last = np.searchsorted(reached, ends)
+            if last[-1] >= len(ids) or not np.array_equal(reached[last], ends):
+                raise ValueError("a token crosses two pieces: this tokenizer is not a byte-level BPE with the usual pattern")
+            raw = ids.tobytes()
+            at = (4 * (last + 1)).tolist()
+            for i, lo, hi in zip(strung, [0, *at], at, strict=False):
+                out[i] = raw[lo:hi]
+        return out
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        marked = [any(a in t for a in self.added) for t in texts]
+        plain = iter(self.recent.ids([t for t, m in zip(texts, marked, strict=True) if not m], self._new))
+        other = iter(self._encoded([t for t, m in zip(texts, marked, strict=True) if m]))
+        return [next(other).tobytes() if m else next(plain) for m in marked]
 
 
 @lru_cache(maxsize=2)
@@ -147,6 +188,8 @@ def _cut(path: str, window: int):
 
         t, part = tokens(path), TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
+        closing = CLOSING.to_bytes(4, "little")
+        step = 4 * window
         fulls = 0
         for pdf in batches:
             at = 0
@@ -155,12 +198,12 @@ def _cut(path: str, window: int):
             for some in chunks(texts):
                 rows = []
                 for ids in t.ids(some):
-                    ids = np.append(ids, np.uint32(CLOSING)).astype("<u4", copy=False)
-                    n = len(ids) // window
-                    tail = ids[n * window :]
-                    crcs = [zlib.crc32(ids[i * window : (i + 1) * window].tobytes()) for i in range(n)]
+                    ids += closing
+                    n = len(ids) // step
+                    crcs = [zlib.crc32(ids[i * step : (i + 1) * step]) for i in range(n)]
+                    tail = np.frombuffer(ids, "<u4", offset=n * step)
                     r = len(tail)
-                    rows.append((len(ids), crcs, tail.astype("<u2" if not r or tail.max() < 65536 else "<u4").tobytes(), r, part, seen[r], fulls))
+                    rows.append((len(ids) // 4, crcs, tail.astype("<u2" if not r or tail.max() < 65536 else "<u4").tobytes(), r, part, seen[r], fulls))
                     seen[r] += 1
                     fulls += n
                 out = pd.DataFrame(rows, columns=["doc_tokens", "full_crcs", "tail", "r", "part", "rank", "full_rank"])
@@ -203,13 +246,18 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
         ),
         "pack-tokens",
     )
-    sizes = materialize(cut.groupBy("part", "r").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("full_crcs")).alias("fulls")), "pack-sizes")
-    histogram = {x["r"]: x["n"] for x in sizes.groupBy("r").agg(F.sum("n").alias("n")).collect() if x["r"]}
+    tails = cut.groupBy("part", "r").agg(F.count(F.lit(1)).alias("n"))
+    fulls = cut.groupBy("part").agg(F.sum(F.size("full_crcs")).alias("n"))
+    sizes = materialize(tails.unionByName(fulls.select("part", F.lit(-1).alias("r"), "n")), "pack-sizes")
+    histogram = {x["r"]: x["n"] for x in sizes.filter("r > 0").groupBy("r").agg(F.sum("n").alias("n")).collect()}
     rows, bins = plan(histogram, window)
-    ahead = lambda *by: (W.partitionBy(*by) if by else W.partitionBy()).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    by_part = sizes.groupBy("part").agg(F.sum("fulls").alias("f")).withColumn("first_full", F.coalesce(F.sum("f").over(ahead()), F.lit(0))).drop("f")
-    first = sizes.withColumn("first", F.coalesce(F.sum("n").over(ahead("r")), F.lit(0))).join(by_part, "part").select("part", "r", "first", "first_full")
-    ranked = cut.join(first, ["part", "r"]).select(
+    # one row of a part and length: the window of a length holds one small row of each part
+    ahead = W.partitionBy("r").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    first = sizes.withColumn("first", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    hint = "broadcast" if sizes.count() <= BROADCAST_ROWS else "merge"
+    of_tails = first.filter("r >= 0").select("part", "r", "first").hint(hint)
+    of_fulls = first.filter("r < 0").select("part", F.col("first").alias("first_full")).hint(hint)
+    ranked = cut.join(of_tails, ["part", "r"]).join(of_fulls, "part").select(
         "doc_id", "doc_tokens", "full_crcs", "tail", "r",
         (F.col("rank") + F.col("first")).cast("long").alias("rank"), (F.col("full_rank") + F.col("first_full")).cast("long").alias("full_rank"),
     )
