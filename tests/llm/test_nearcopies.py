@@ -53,9 +53,30 @@ def expected(rows):
     return sorted(least.values())
 
 
-@pytest.mark.parametrize("often", [2, 10])
-def test_stage_keeps_one_of_each_group(spark, rows, monkeypatch, often):
-    monkeypatch.setattr(nearcopies, "COMMON", often)
+def test_segments_miss_no_pair():
+    r = np.random.default_rng(0)
+    some = lambda k: np.unique(r.integers(0, 2**64, k, dtype=np.uint64))
+    tried = 0
+    for _ in range(3000):
+        x = some(int(r.integers(1, 400)))
+        k = len(x) // 4
+        y = np.unique(np.concatenate((r.choice(x, len(x) - int(r.integers(0, k + 1)), replace=False), some(int(r.integers(0, k + 1))))))
+        shared = len(np.intersect1d(x, y))
+        apart = len(x) + len(y) - 2 * shared
+        assert nearcopies.differing(nearcopies.parities(x), nearcopies.parities(y)) <= apart
+        if 5 * shared >= 4 * (shared + apart):
+            tried += 1
+            assert len(np.intersect1d(nearcopies.signatures(x), nearcopies.signatures(y)))
+    assert tried > 500
+    assert [nearcopies.level(nearcopies.largest(k)) for k in (0, 1, 2, 5, 12)] == [0, 1, 2, 5, 12]
+    assert all(nearcopies.level(nearcopies.largest(k) + 1) > k for k in range(20))
+
+
+@pytest.mark.parametrize("few", [False, True])
+def test_stage_keeps_one_of_each_group(spark, rows, monkeypatch, few):
+    if few:  # every bound that only divides the work, made small
+        monkeypatch.setattr(nearcopies, "PART_SEGMENTS", 50)
+        monkeypatch.setattr(nearcopies, "BROADCAST_KEYS", 0)
     docs = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, size int").repartition(3)
     kept = corpus_pipeline.near_copies(spark, docs, "")
     assert kept.columns == docs.columns
@@ -75,9 +96,9 @@ def test_rounds_lose_nothing(spark, rows, monkeypatch):
 def test_ids_null_or_repeated(spark):
     r = np.random.default_rng(3)
     a, b, c, d = (" ".join(r.choice([f"w{i}" for i in range(900)], 60)) for _ in range(4))
-    docs = spark.createDataFrame([(None, a), (None, b), (None, None), (1, c), (1, d), (0, d)], "doc_id long, text string")
-    got = {(r["doc_id"], r["text"]) for r in nearcopies.near_dedup(docs).collect()}
-    assert got == {(None, a), (None, b), (None, None), (1, c), (0, d)}
+    docs = spark.createDataFrame([(None, a), (None, b), (None, None), (1, c), (1, c), (1, d), (0, d)], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["text"]) for r in nearcopies.near_dedup(docs).collect()), key=str)
+    assert got == sorted([(None, a), (None, b), (None, None), (1, c), (0, d)], key=str)
     assert nearcopies.near_dedup(docs.limit(0)).count() == 0
 
 
