@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from hitscope.llm.common import documents
 
 #: Bytes of each of a worker's two tables, the longest piece they keep, and characters taken together as one chunk of the corpus.
-TABLE_BYTES, LONGEST_KEPT, CHUNK_CHARS = 96_000_000, 64, 1_000_000
+TABLE_BYTES, LONGEST_KEPT, CHUNK_CHARS = 48_000_000, 64, 1_000_000
 #: About what a table entry takes besides its own characters.
-ENTRY_BYTES = 150
+ENTRY_BYTES = 200
 
 #: No match of the pre-tokenizer's pattern goes on from a character that is not white space to one that is.
 CUT = re.compile(r"(?<=\S)(?=[ \n])")
@@ -90,14 +90,17 @@ class Recent:
         split = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
         coded = split.values.dictionary_encode()
         others = [pieces(t) for t, r in zip(texts, runs, strict=True) if r]
-        keys = coded.dictionary.to_pylist()
-        missing = set(keys).union(*others).difference(self.now)
-        old = missing.intersection(self.before)
-        self._add({k: self.before[k] for k in old})
-        new = list(missing - old)
+        keys = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.now.get, keys))
+        at = [i for i, x in enumerate(found) if x is None]
+        missing = {keys[i] for i in at}.union(k for ps in others for k in ps if k not in self.now)
+        old = {k: x for k in missing if (x := self.before.get(k)) is not None}
+        self._add(old)
+        new = [k for k in missing if k not in old]
         self._add(dict(zip(new, encode(list(map(verbatim, new))), strict=True)))
         get = self.now.__getitem__
-        found = list(map(get, keys))
+        for i in at:
+            found[i] = get(keys[i])
         # the ids of all plain texts in a row, gathered from those of the distinct pieces
         size = np.array(list(map(len, found)), np.int32) // 4
         pool = np.frombuffer(b"".join(found), np.uint32)

@@ -2,33 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hitscope.storage import shared_dir
+
 #: A word is a maximal run of characters other than these.
 WORD_SPACE = " \t\n\x0b\x0c\r"
 WORD_SPLIT = "[ \\t-\\r]+"
 
-_local: list[str] = []
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share; a temporary one where none is named (local tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _local:
-        _local.append(tempfile.mkdtemp(prefix="hitscope-"))
-    return f"file://{_local[0]}"
-
-
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends, and lost executors cost only a reread."""
     spark = df.sparkSession
@@ -37,6 +25,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, taken: list[str]) -> str:
+    """name, with underscores before it until no column has it (Spark's names differ by more than case)."""
+    held = {c.lower() for c in taken}
+    while name.lower() in held:
+        name = "_" + name
+    return name
+
+
 def words(text: Column) -> Column:
     """array<string> of the words of a text; null and blank texts have none."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(WORD_SPACE))

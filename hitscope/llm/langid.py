@@ -5,8 +5,8 @@ whose inner characters are letters (so they may take in a word's start or end),
 embedding. The mean embedding of all subwords of the whole text goes through a linear layer and a softmax. The
 temperature and the rejection threshold come from held-back rows of the training sample.
 
-The model is fitted on the driver from at most `sample` labelled rows, those of the smallest hashes; everything
-else sees all rows. Defined cases: a null text, or one without a letter, gets `und` with score 0; no labelled rows
+The model is fitted on the driver from the subword counts of at most `sample` labelled rows, those of the smallest
+hashes (SAMPLE rows of at most BUCKETS counts each bound what the driver holds); everything else sees all rows. Defined cases: a null text, or one without a letter, gets `und` with score 0; no labelled rows
 at all: every text is `und`; repeated rows are predicted alike; extra columns are kept, but outputs replace columns of their names.
 """
 
@@ -20,9 +20,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from hitscope.llm.common import documents
+from hitscope.llm.common import documents, unused
 
 BUCKETS, DIMS = 1 << 14, 16
 SAMPLE, EPOCHS, BATCH, RATE = 3000, 6, 32, 2.0
@@ -41,9 +40,9 @@ def _letters() -> np.ndarray:
     return out
 
 
-def subwords(text: str) -> np.ndarray:
-    """Bucket of each subword of a text, lower-cased."""
-    code = np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "replace"), np.uint32)
+def _starting(piece: str, starts: int) -> np.ndarray:
+    """Bucket of each subword that starts in the first `starts` characters of a piece of a lower-cased, padded text."""
+    code = np.frombuffer(piece.encode("utf-32-le", "replace"), np.uint32)
     c = np.where(_letters()[code], code, 0).astype(np.uint64)
     mixed = c * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)
     some = c > 0
@@ -53,10 +52,26 @@ def subwords(text: str) -> np.ndarray:
         h = (h[:-1] * np.uint64(0xD6E8FEB86659FD93)) ^ (mixed[n - 1 :])
         h = h ^ (h >> np.uint64(29))
         ok = some[1 : len(some) - 1] if n == 3 else (some[:-1] | some[1:]) if n == 2 else (some[1:-2] & some[2:-1])
-        out.append(((h[ok] * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(50)).astype(np.int64))
+        out.append(((h[:starts][ok[:starts]] * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(50)).astype(np.int64))
     return np.concatenate(out)
 
 
+def subwords(text: str) -> Iterator[np.ndarray]:
+    """Buckets of the subwords of a whole text, each once, in runs of bounded size."""
+    padded = " " + text.lower() + " "
+    for i in range(0, len(padded), CHUNK_CHARS):
+        yield _starting(padded[i : i + CHUNK_CHARS + 3], CHUNK_CHARS)
+
+
+def profile(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that a text has, and the share of its subwords in each."""
+    n = np.zeros(BUCKETS, np.int64)
+    for b in subwords(text):
+        n += np.bincount(b, minlength=BUCKETS)
+    u = np.flatnonzero(n)
+    return u, (n[u] / max(1, n.sum())).astype(np.float32)
+
+
 @dataclass
 class Model:
     labels: list[str]
@@ -76,8 +91,7 @@ class Model:
         for t in texts:
             total, n = np.zeros(len(self.labels)), 0
             if t and self.labels:
-                for i in range(0, len(t), CHUNK_CHARS):
-                    b = subwords(t[i : i + CHUNK_CHARS])
+                for b in subwords(t):
                     total += table[b].sum(0, dtype=np.float64)
                     n += len(b)
             if not n:
@@ -98,16 +112,11 @@ def _dense(rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return x
 
 
-def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model:
+def fit(profiles: list[tuple[np.ndarray, np.ndarray]], langs: list[str], seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
     labels = sorted(set(langs))
-    rows, y = [], []
-    for t, lang in zip(texts, langs, strict=True):
-        b = subwords(t)
-        if len(b):
-            u, n = np.unique(b, return_counts=True)
-            rows.append((u, (n / len(b)).astype(np.float32)))
-            y.append(labels.index(lang))
+    rows = [p for p in profiles if len(p[0])]
+    y = [labels.index(lang) for p, lang in zip(profiles, langs, strict=True) if len(p[0])]
     if not rows:
         return Model([], np.zeros((BUCKETS, DIMS), np.float32), np.zeros((DIMS, 0), np.float32), np.zeros(0), 1.0, 1.0)
     order = rng.permutation(len(rows))
@@ -121,7 +130,7 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model:
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
         for i in range(0, len(learn), BATCH):
-            at = rng.permutation(learn)[:BATCH] if i == 0 else learn[i : i + BATCH]
+            at = learn[i : i + BATCH]
             x = _dense([rows[j] for j in at])
             h = x @ e
             z = h @ w + bias
@@ -159,24 +168,35 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     first = open_rows.select(place.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     if first is None:
         return fit([], [])
-    rows = open_rows.filter(place <= F.lit(first)).select("doc_id", "text", "lang").limit(sample).collect()
-    rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"]))
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k, lang, t in zip(pdf["k"], pdf["lang"], pdf["text"], strict=True):
+                u, w = profile(t)
+                yield pd.DataFrame({"k": [k], "lang": [lang], "u": [u.astype(np.int32)], "w": [w]})
 
+    taken = open_rows.filter(place <= F.lit(first)).select(F.xxhash64("doc_id", "text", "lang").alias("k"), "lang", "text").limit(sample)
+    rows = sorted(taken.mapInPandas(run, "k long, lang string, u array<int>, w array<float>").collect(), key=lambda r: (r["k"], r["lang"]))
+    return fit([(np.array(r["u"], np.int64), np.array(r["w"], np.float32)) for r in rows], [r["lang"] for r in rows])
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds lang_pred, score and rejected."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.drop("lang_pred", "score", "rejected")
-    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = sent.value.predict(pdf["text"].tolist())
-            pdf["lang_pred"], pdf["score"], pdf["rejected"] = [g[0] for g in got], [g[1] for g in got], [g[2] for g in got]
-            yield pdf
+def judged(text: Column, model: Model, spark: SparkSession) -> Column:
+    """struct<lang_pred, score, rejected> of a text. Only the text goes through Python."""
+    sent = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("lang_pred string, score double, rejected boolean")
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for t in texts:
+            yield pd.DataFrame(sent.value.predict(t.tolist()), columns=["lang_pred", "score", "rejected"])
 
-    return kept.mapInPandas(run, schema)
+    return run(text)
+
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """Adds lang_pred, score and rejected."""
+    own = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
+    taken = unused("_judged", docs.columns)
+    found = docs.select(*[F.col(f"`{c}`") for c in own], judged(F.col("text"), model, docs.sparkSession).alias(taken))
+    return found.select(*[F.col(f"`{c}`") for c in own], f"{taken}.*")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,5 +209,6 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def language_filter(docs: DataFrame) -> DataFrame:
     """The documents whose language is told with enough confidence, with their own columns."""
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text"))
-    return predict(own, train(docs)).filter(~F.col("rejected")).select("_row.*")
+    taken = unused("_judged", docs.columns)
+    found = docs.withColumn(taken, judged(F.col("text"), train(docs), docs.sparkSession))
+    return found.filter(~F.col(taken)["rejected"]).drop(taken)

@@ -60,11 +60,18 @@ def test_bpe_as_the_library_does(spark, docs):
     assert got[0]["size"] == 7
     for t in ["it's  we'll \r\n x", "aaaaaaaa", " ", "\n \n", "<|endoftext|>", "a\n\n b", "x \t y", "\x85 z", "1234 ab12"]:
         assert ours.encode([t])[0].tolist() == theirs.encode_ordinary(t)
-    small = bpe.Recent(most=2)
-    for k in ("a", "b", "c", "a"):
-        for x in small.missing({k}):
-            small.now[x] = k.encode()
-        assert small.now[k] == k.encode()
+    r = np.random.default_rng(6)
+    odd = ["", *("".join(r.choice(list(" \n\t\v\r ab1'sé!.<|>"), int(r.integers(1, 40)))) for _ in range(3000))]
+    for most in (bpe.TABLE_BYTES, 500):  # a table that fills up all the time gives the same
+        ours.recent = bpe.Recent(most)
+        for i in range(0, len(odd), 500):
+            for t, ids in zip(odd[i : i + 500], ours.encode(odd[i : i + 500]), strict=True):
+                assert ids.tolist() == theirs.encode_ordinary(t)
+    ours.recent = bpe.Recent()
+    assert ours.encode([]) == []
+    long = "x" * 3000 + " " + "y" * 100
+    assert ours.encode([long])[0].tolist() == theirs.encode_ordinary(long)
+    assert max(map(len, ours.recent.now), default=0) <= bpe.LONGEST_KEPT
     assert bpe.encode(empty(spark), path, pattern).count() == 0
 
 
@@ -179,7 +186,6 @@ def test_packing(spark, docs, rows):
 
     path = bpe.tokenizer_file("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     expected = collections.Counter()
     for i, text in rows:
         expected[i, len(t.encode(text or "", add_special_tokens=False).ids) + 1] += 1
@@ -208,6 +214,29 @@ def test_packing(spark, docs, rows):
     assert packing.pack(empty(spark), path).count() == 0
 
 
+def test_packing_ids_are_the_library_s(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = bpe.tokenizer_file("byte_bpe_50k.json")
+    plain, ours = Tokenizer.from_file(path), packing.Tokens(path)
+    r = np.random.default_rng(7)
+    texts = ["", "hi <|endoftext|> there", "<|endoftext|>", "a <|endoftext|>\n b  ", "<|endoftext", "one\ntwo  three\t four", "日本語 テスト 😀"]
+    texts += ["".join(r.choice(list(" \n\t\vab1'sé!.<|>"), int(r.integers(1, 40)))) for _ in range(2000)]
+    for joined in (packing.JOINED_CHARS, 3):
+        monkeypatch.setattr(packing, "JOINED_CHARS", joined)
+        ours.recent = bpe.Recent()
+        assert [np.frombuffer(x, "<u4").tolist() for x in ours.ids(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_packing_beyond_the_broadcast(spark, docs, monkeypatch):
+    path = bpe.tokenizer_file("byte_bpe_50k.json")
+    one = sorted(packing.pack(docs, path, window=256).collect(), key=str)
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", 0)
+    other = packing.pack(docs, path, window=256)
+    assert "BroadcastHashJoin" not in other._jdf.queryExecution().executedPlan().toString()
+    assert [(r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in one] == [(r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in sorted(other.collect(), key=str)]
+
+
 def test_language(spark):
     r = np.random.default_rng(2)
     roots = {"aa": ["tion", "the", "and", "ing"], "bb": ["eau", "que", "ment", "oux"], "cc": ["sch", "ung", "keit", "ver"]}
@@ -223,10 +252,21 @@ def test_language(spark):
     assert sum(r["lang_pred"] == r["lang"] for r in own if r["held"]) / sum(r["held"] for r in own) > 0.98
     assert sum(r["rejected"] for r in own) == 0
     assert langid.language_filter(df).count() == len(rows)
+    clash = df.select("doc_id", "text", "lang", F.lit(1).alias("_judged"), F.lit("p").alias("lang_pred"), F.lit("r").alias("rejected"))
+    assert langid.language_filter(clash).columns == clash.columns and langid.language_filter(clash).filter("_judged = 1 and lang_pred = 'p'").count() == len(rows)
     nothing = langid.train(empty(spark))
     assert nothing.predict(["abc"]) == [("und", 0.0, True)]
 
 
+def test_subwords_of_long_texts(monkeypatch):
+    r = np.random.default_rng(1)
+    text = "".join(r.choice(list("abcdé İß1 .日"), 5000))
+    whole = np.sort(np.concatenate(list(langid.subwords(text))))
+    for most in (1, 2, 7, 1000):
+        monkeypatch.setattr(langid, "CHUNK_CHARS", most)
+        assert np.array_equal(np.sort(np.concatenate(list(langid.subwords(text)))), whole)
+
+
 def brute_repeats(texts, window=35):
     split = [(t or "").encode().split() for t in texts]
     seen = collections.Counter(tuple(w[i : i + window]) for w in split for i in range(len(w) - window + 1))
