@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,8 +100,6 @@ def referer_origin(referer: Column) -> Column:
 
 def idna_origin(referer: Column) -> Column:
     """As referer_origin, for hosts of any script (the host goes through IDNA, in Arrow batches)."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def ascii_host(s: pd.Series) -> pd.Series:
         def one(h: str) -> str:

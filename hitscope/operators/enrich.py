@@ -13,7 +13,7 @@ from hitscope.functions import request
 from hitscope.functions.agents import classify
 from hitscope.functions.ip import ip_key
 from hitscope.operators import ranges
-from hitscope.operators.sessions import with_session_id
+from hitscope.operators.sessions import with_id_of_start, with_session_id
 
 RAW = "site_id string, ts timestamp_ntz, ip string, method string, path string, status int, bytes bigint, ua string, referer string, response_ms double, country string, asn bigint, as_org string"
 
@@ -78,41 +78,58 @@ def verification(bot_id: Column, key: Column, in_range: Column, has_ranges: Colu
     )
 
 
-def enrich(raw: DataFrame, dims: Dimensions, secret: str, source: str = "api") -> DataFrame:
-    """Valid raw events (RAW) to COLUMNS. Absent values are '' or 0, never null."""
-    text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    one = raw.withColumn("_agent", classify(F.col("ua"), dims.bots)).withColumn("_key", ip_key(F.col("ip")))
-    one = one.select("*", F.col("_agent.actor_type").alias("actor_type"), F.col("_agent.bot_id").alias("bot_id"), F.col("_agent.operator").alias("operator")).drop("_agent")
+def agents(raw: DataFrame, bots: list[dict[str, Any]]) -> DataFrame:
+    """(_ua, actor_type, bot_id, operator) for each distinct agent of raw events, null as ''."""
+    return raw.select(F.coalesce("ua", F.lit("")).alias("_ua")).distinct().withColumn("_agent", classify(F.col("_ua"), bots)).select("_ua", "_agent.*")
+
+
+def addresses(raw: DataFrame, dims: Dimensions) -> DataFrame:
+    """(ip, _key, _in, _asn, _country, _org) for each distinct address of raw events; _in: the bots in whose ranges it is."""
+    each = raw.select("ip").distinct().withColumn("_key", ip_key(F.col("ip")))
     if dims.ranges is not None:
-        claimed = one.filter("bot_id != ''").select("bot_id", "_key")
-        held = ranges.matches(claimed, dims.ranges, "_key", ["bot_id"]).select("bot_id", "_key").distinct().withColumn("_in", F.lit(True))
-        published = dims.ranges.select("bot_id").distinct().withColumn("_published", F.lit(True))
-        one = one.join(held, ["bot_id", "_key"], "left").join(published, "bot_id", "left")
+        held = ranges.matches(each, dims.ranges, "_key").groupBy("_key").agg(F.collect_set("bot_id").alias("_in"))
+        each = each.join(held, "_key", "left")
     else:
-        one = one.withColumn("_in", F.lit(None).cast("boolean")).withColumn("_published", F.lit(None).cast("boolean"))
+        each = each.withColumn("_in", F.lit(None).cast("array<string>"))
+    if dims.networks is not None:
+        each = each.withColumn("_net", ip_key(F.col("ip"), mapped=False))
+        announced = dims.networks.select("first", "last", F.col("asn").alias("_asn"), F.col("country").alias("_country"), F.col("as_org").alias("_org"))
+        # number 0 says that nobody announces the range
+        found = ranges.latest(each.select("_net"), announced, "_net", ["_asn", "_country", "_org"]).filter("_asn != 0")
+        return each.join(found, "_net", "left").drop("_net")
+    return each.withColumn("_asn", F.lit(None).cast("bigint")).withColumn("_country", F.lit(None).cast("string")).withColumn("_org", F.lit(None).cast("string"))
+
+
+def enrich(raw: DataFrame, dims: Dimensions, secret: str, source: str = "api") -> DataFrame:
+    """Valid raw events (RAW) to COLUMNS. Absent values are '' or 0, never null.
+
+    Agents, addresses and referers beyond ASCII are looked up once each, whatever the number of events; Spark
+    broadcasts what was found where it is small, and else joins by shuffle. A column session_start (of a stream's
+    state) gives the sessions' starts; without it they are found among these events.
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    one = raw.withColumn("_ua", text("ua")).join(agents(raw, dims.bots), "_ua", "left").join(addresses(raw, dims), "ip", "left")
+    published = [r[0] for r in dims.ranges.select("bot_id").distinct().collect()] if dims.ranges is not None else []  # at most the registry's bots
     if dims.rdns is not None:
         one = one.join(dims.rdns.select("ip", "bot_id", F.col("outcome").alias("_dns")), ["ip", "bot_id"], "left")
     else:
         one = one.withColumn("_dns", F.lit(""))
-    if dims.networks is not None:
-        plain = one.withColumn("_net", ip_key(F.col("ip"), mapped=False))
-        found = ranges.latest(plain.select("_net"), dims.networks.select("first", "last", F.col("asn").alias("_asn"), F.col("country").alias("_country"), F.col("as_org").alias("_org")), "_net", ["_asn", "_country", "_org"])
-        one = plain.join(found, "_net", "left").drop("_net")
-    else:
-        one = one.withColumn("_asn", F.lit(None).cast("bigint")).withColumn("_country", F.lit(None).cast("string")).withColumn("_org", F.lit(None).cast("string"))
-    false = F.lit(False)
+    scripts = raw.select("referer").filter(F.col("referer").rlike(r"[^\x00-\x7F]")).distinct().withColumn("_origin", request.idna_origin(F.col("referer")))
+    one = one.join(scripts, "referer", "left")
     is_bot = F.col("actor_type") != "human"
+    in_range, has_ranges = F.coalesce(F.array_contains("_in", F.col("bot_id")), F.lit(False)), F.col("bot_id").isin(published) if published else F.lit(False)
+    starts = ["session_start"] if "session_start" in raw.columns else []
     wide = one.select(
         "site_id", "ts", request.visitor_hash(F.col("ip"), F.col("ts"), secret).alias("ip_hash"), F.when(is_bot, F.col("ip")).otherwise("").alias("bot_ip"),
         F.upper("method").alias("method"), request.pathname(F.col("path")).alias("path"), request.path_group(request.pathname(F.col("path"))).alias("path_group"),
         F.lit("").alias("query"), F.col("status").cast("int").alias("status"), F.coalesce(F.col("bytes"), F.lit(0)).cast("bigint").alias("bytes"),
-        F.floor(F.coalesce(F.col("response_ms"), F.lit(0.0)) + 0.5).cast("bigint").alias("response_ms"), text("ua").alias("ua"), "actor_type", "bot_id", "operator",
-        verification(F.col("bot_id"), F.col("_key"), F.coalesce("_in", false), F.coalesce("_published", false), dims.bots, F.coalesce("_dns", F.lit(""))).alias("verification"),
-        request.referer_origin(F.col("referer")).alias("referer"),
+        F.floor(F.coalesce(F.col("response_ms"), F.lit(0.0)) + 0.5).cast("bigint").alias("response_ms"), F.col("_ua").alias("ua"), "actor_type", "bot_id", "operator",
+        verification(F.col("bot_id"), F.col("_key"), in_range, has_ranges, dims.bots, F.coalesce("_dns", F.lit(""))).alias("verification"),
+        F.coalesce("_origin", request.referer_origin(F.col("referer"))).alias("referer"),
         F.when(is_bot, "").otherwise(request.referral(F.col("referer"), request.query(F.col("path")))).alias("ai_referral"),
         F.lit("").alias("topic_id"), F.lit(source).alias("ingest_source"),
         F.when(text("country") != "", F.col("country")).otherwise(text("_country")).alias("country"),
         F.when(F.coalesce("asn", F.lit(0)) != 0, F.col("asn")).otherwise(F.coalesce("_asn", F.lit(0))).cast("bigint").alias("asn"),
-        F.when(text("as_org") != "", F.col("as_org")).otherwise(text("_org")).alias("as_org"),
+        F.when(text("as_org") != "", F.col("as_org")).otherwise(text("_org")).alias("as_org"), *starts,
     )
-    return with_session_id(wide).select(*COLUMNS)
+    return (with_id_of_start(wide) if starts else with_session_id(wide)).select(*COLUMNS)

@@ -31,5 +31,9 @@ def with_session_start(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFr
 
 def with_session_id(df: DataFrame) -> DataFrame:
     """Adds session_id from site_id, ip_hash, ua and the session's start."""
-    started = with_session_start(df, ["site_id", "ip_hash", "ua"])
+    return with_id_of_start(with_session_start(df, ["site_id", "ip_hash", "ua"]))
+
+
+def with_id_of_start(started: DataFrame) -> DataFrame:
+    """session_start replaced by session_id."""
     return started.withColumn("session_id", id_of(F.concat_ws(" ", session_key(), start_millis(F.col("session_start"))))).drop("session_start")

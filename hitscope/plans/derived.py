@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,8 @@ from hitscope import registry
 from hitscope.operators import ranges, rollups
 from hitscope.operators.enrich import Dimensions, enrich
 from hitscope.plans.panels import Panels
+from hitscope.sources.sinks import read_events, write_events
+from hitscope.storage import shared_dir
 
 AS_OF = dt.datetime(2024, 1, 31)
 SECRET = "secret"
@@ -105,17 +106,24 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
 _stored: dict[tuple[str, str], str] = {}
 
 
-def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The enriched log as the table that panels read, written once a session to the shared folder."""
+def _folder(spark: SparkSession, sf_dir: str) -> str:
+    """Where the enriched log, by month, and its rollups are; written once a session to the shared folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stored:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="hitscope-")
-        path = f"{shared.rstrip('/')}/hitscope/events-{uuid.uuid4().hex}"
-        enriched(spark, sf_dir).write.parquet(path)
+        path = f"{shared_dir(spark)}/hitscope/log-{uuid.uuid4().hex}"
+        write_events(enriched(spark, sf_dir), f"{path}/events")
+        events = read_events(spark, f"{path}/events")
+        for name in rollups.KEYS:
+            rollups.build(events, name).write.parquet(f"{path}/{name}")
         _stored[key] = path
-    return spark.read.parquet(_stored[key])
+    return _stored[key]
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The enriched log as the table that panels read."""
+    return read_events(spark, f"{_folder(spark, sf_dir)}/events")
 
 
 def panels(spark: SparkSession, sf_dir: str, site: str | None = None, as_of: dt.datetime = AS_OF) -> Panels:
-    events = stored(spark, sf_dir)
-    return Panels(events, as_of, {name: rollups.build(events, name) for name in rollups.KEYS}, site)
+    folder = _folder(spark, sf_dir)
+    return Panels(stored(spark, sf_dir), as_of, {name: spark.read.parquet(f"{folder}/{name}") for name in rollups.KEYS}, site)

@@ -18,6 +18,10 @@ ASSISTANTS = {
 }
 
 
+#: Characters of a search text.
+LONGEST_SEARCH = 200
+
+
 def is_ai() -> Column:
     return F.startswith("actor_type", F.lit("ai_"))
 
@@ -116,8 +120,11 @@ class Panels:
 
     def top_pages(self, h: int = 24, limit: int = 100, search: str = "") -> DataFrame:
         rows = self.hours(h)
+        checked(limit, 100, "limit")
+        if len(search) > LONGEST_SEARCH:
+            raise ValueError(f"search must have at most {LONGEST_SEARCH} characters")
         if search:
-            rows = rows.filter(F.contains(F.lower("path_group"), F.lower(F.lit(search[:200]))))
+            rows = rows.filter(F.contains(F.lower("path_group"), F.lower(F.lit(search))))
         ai = is_ai() & genuine()
         real = lambda k: n(kind(k) & genuine())
         return (

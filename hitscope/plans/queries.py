@@ -70,7 +70,7 @@ e1 as (select site_id, ts, cast(('0x' || left(sha256('{derived.SECRET} ' || strf
     cast(floor(response_ms + 0.5) as bigint) as response_ms, ua, coalesce(a.actor_type, 'human') as actor_type, coalesce(a.bot_id, '') as bot_id, coalesce(a.operator, '') as operator,
     case when not coalesce(ranged, false) then 'na' when ip like '198.51.100.%' then 'verified' else 'spoofed' end as verification,
     {_ORIGIN} as referer, case when a.token is null then {_REFERRAL} else '' end as ai_referral, 'api' as ingest_source,
-    {_net("'US'", "'NL'", "'DE'", "'FR'", "''")} as country, {_net("64500", "64501", "64502", "0", "0")}::bigint as asn,
+    {_net("'US'", "'NL'", "'DE'", "''", "''")} as country, {_net("64500", "64501", "64502", "0", "0")}::bigint as asn,
     {_net("'Example Hosting'", "'Forge Net'", "'Home ISP'", "''", "''")} as as_org
   from raw left join agents a on contains(ua, a.token)),
 e2 as (select *, case when ts - lag(ts) over (partition by site_id, ip_hash, ua order by ts) <= interval 30 minutes then 0 else 1 end as fresh from e1),
@@ -97,7 +97,7 @@ _KPIS = f"""select count(*) filter ({_AI} and {_REAL}) as ai_hits, count(*) filt
  count(*) filter (verification = 'verified') as verified, count(*) filter (verification = 'spoofed') as spoofed, count(*) filter (ai_referral <> '') as ai_referrals,
  count(*) filter (actor_type <> 'human' and status >= 400 and {_REAL}) as bot_errors from w"""
 _PAGES_DAILY = f"""d as (select path_group as page, cast(ts as date) as date, count(*) as hits from events_enriched where {_AI} and {_REAL} and {_DATES} group by all),
- top as (select page, sum(hits) as total from d group by 1 order by 2 desc, 1 limit 10)"""
+ top as (select page, sum(hits) as total from d group by 1 order by 2 desc, 1 limit 30)"""
 _CRAWLS = f"crawls as (select operator, count(*) as crawls from events_enriched where {_AI} and {_REAL} and operator <> '' and {_DATES} group by 1)"
 _CLICKS = f"clicks as (select ai_referral as source, count(*) as clicks from events_enriched where ai_referral <> '' and {_DATES} group by 1)"
 _MAP = ", ".join(f"('{a}', '{b}')" for a, b in panels.ASSISTANTS.items())
@@ -133,7 +133,7 @@ def _merged_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _ip_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = derived.raw(spark, sf_dir).select("ip").distinct().withColumn("key", ip.ip_key(F.col("ip")))
     nets = derived.dimensions(spark).networks
-    found = ranges.latest(raw, nets, "key", ["asn", "country", "as_org"])
+    found = ranges.latest(raw, nets, "key", ["asn", "country", "as_org"]).filter("asn != 0")
     return raw.join(found, "key", "left").select("ip", "key", F.coalesce("asn", F.lit(0)).alias("asn"), F.coalesce("country", F.lit("")).alias("country"), F.coalesce("as_org", F.lit("")).alias("as_org"))
 
 
@@ -170,7 +170,7 @@ _DIMENSION = {d: d for d in explore.DIMENSIONS} | {
     "as_org": "if(as_org = '', '(unknown)', as_org)", "ai_referral": "if(ai_referral = '', '(none)', ai_referral)", "status": "(status // 100) || 'xx'",
     "hour": "hour(ts)::varchar", "weekday": "isodow(ts)::varchar",
 }
-EXPLORED = [("hits", d) for d in explore.DIMENSIONS] + [(m, d) for m in explore.METRICS if m != "hits" for d in ("operator", "actor_type", "hour", "weekday", "status", "country")]
+EXPLORED = [(m, d) for m in explore.METRICS for d in explore.DIMENSIONS]
 
 
 def _early(minutes: int, f: Callable[[panels.Panels, int], DataFrame]) -> Query:
@@ -186,7 +186,7 @@ QUERIES: dict[str, Query] = {
     "hourly_by_actor": _panel(lambda p: p.hourly(HOURS)),
     "top_bots": _panel(lambda p: p.top_bots(HOURS)),
     "top_pages": _panel(lambda p: p.top_pages(HOURS)),
-    "top_pages_search": _panel(lambda p: p.top_pages(HOURS, 10, "BLOG")),
+    "top_pages_search": _panel(lambda p: p.top_pages(HOURS, search="BLOG")),
     "referrals": _panel(lambda p: p.referrals(HOURS)),
     "recent_feed": _panel(lambda p: p.recent(HOURS)),
     "sites": _panel(lambda p: p.sites()),
@@ -198,8 +198,8 @@ QUERIES: dict[str, Query] = {
     "spoofed_by_bot": _panel(lambda p: p.spoofed_by_bot(HOURS)),
     "spoofed_sources": _panel(lambda p: p.spoofed_sources(HOURS)),
     "ai_landing_pages": _panel(lambda p: p.landing_pages(DAYS)),
-    "pages_daily": _panel(lambda p: p.pages_daily(DAYS, 10)),
-    "pages_daily_dense": _panel(lambda p: p.pages_daily_dense(DAYS, 10)),
+    "pages_daily": _panel(lambda p: p.pages_daily(DAYS)),
+    "pages_daily_dense": _panel(lambda p: p.pages_daily_dense(DAYS)),
     "retrieved_pages": _panel(lambda p: p.retrieved_pages(DAYS)),
     "infra_hits": _panel(lambda p: p.infra_hits(DAYS)),
     "clicks_by_source": _panel(lambda p: p.clicks_by_source(DAYS)),
@@ -273,7 +273,7 @@ SQL: dict[str, str] = {
     "path_group": f"with {_RAW} select distinct path, {_GROUP} as path_group from raw",
     "referral_class": f"with {_RAW} select distinct referer, path, {_REFERRAL} as source from raw",
     "ua_class": f"with {_RAW}, agents(token, actor_type, bot_id, operator, ranged) as (values {_AGENTS}) select distinct ua, coalesce(actor_type, 'human') as actor_type, coalesce(bot_id, '') as bot_id, coalesce(operator, '') as operator from raw left join agents on contains(ua, token)",
-    "ip_network": f"with {_RAW} select distinct ip, array_to_string(list_transform(string_split(ip, '.'), lambda b: lpad(lower(to_hex(b::int)), 2, '0')), '') as key, {_net('64500', '64501', '64502', '0', '0')}::bigint as asn, {_net(chr(39) + 'US' + chr(39), chr(39) + 'NL' + chr(39), chr(39) + 'DE' + chr(39), chr(39) + 'FR' + chr(39), chr(39) * 2)} as country, {_net(chr(39) + 'Example Hosting' + chr(39), chr(39) + 'Forge Net' + chr(39), chr(39) + 'Home ISP' + chr(39), chr(39) * 2, chr(39) * 2)} as as_org from raw",
+    "ip_network": f"with {_RAW} select distinct ip, array_to_string(list_transform(string_split(ip, '.'), lambda b: lpad(lower(to_hex(b::int)), 2, '0')), '') as key, {_net('64500', '64501', '64502', '0', '0')}::bigint as asn, {_net(chr(39) + 'US' + chr(39), chr(39) + 'NL' + chr(39), chr(39) + 'DE' + chr(39), chr(39) * 2, chr(39) * 2)} as country, {_net(chr(39) + 'Example Hosting' + chr(39), chr(39) + 'Forge Net' + chr(39), chr(39) + 'Home ISP' + chr(39), chr(39) * 2, chr(39) * 2)} as as_org from raw",
     "ip_verify": _q("select bot_id, bot_ip, verification, count(*) as hits from events_enriched where bot_id <> '' group by all"),
     "merged_ranges": "with r as (select (o_custkey % 5)::varchar as owner, (o_orderkey * 37) % 100003 + o_orderkey % 7 as lo, (o_orderkey * 37) % 100003 + o_orderkey % 7 + o_orderkey % 5 as hi from orders), p as (select owner, unnest(range(lo, hi + 1)) as x from r), u as (select distinct owner, x from p), g as (select owner, x, x - row_number() over (partition by owner order by x) as k from u) select owner, lpad(lower(to_hex(min(x))), 8, '0') as first, lpad(lower(to_hex(max(x))), 8, '0') as last from g group by owner, k",
     "sessions": _q("select session_id, count(*) as hits, min(ts) as first_ts, max(ts) as last_ts from events_enriched group by 1"),
@@ -286,7 +286,7 @@ SQL: dict[str, str] = {
     "user_sessions": "with a as (select event_id, user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 30 minutes then 0 else 1 end as f from events), b as (select *, sum(f) over (partition by user_id order by ts rows unbounded preceding) as k from a) select event_id, min(ts) over (partition by user_id, k) as session_start from b",
     "explore_filtered": _q("select path_group as key, count(*) as value from w where operator = 'openai' and verification = 'verified' group by 1 order by 2 desc, 1 limit 50", _W1),
 } | {f"explore_{m}_{d}": _q(f"select {_DIMENSION[d]} as key, cast({_METRIC[m]} as bigint) as value from w group by 1 order by 2 desc, 1 limit 50", _W1) for m, d in EXPLORED}
-SQL["top_pages_search"] = SQL["top_pages"].replace("from w group by", "from w where path_group ilike '%blog%' group by").replace("limit 100", "limit 10")
+SQL["top_pages_search"] = SQL["top_pages"].replace("from w group by", "from w where path_group ilike '%blog%' group by")
 SQL["registry_merge"] = (
     "with s as (select p_partkey % 3 as k, trim(regexp_replace(lower('Bot ' || p_brand), '[^a-z0-9]+', '-', 'g'), '-') as bot_id, min(p_type) as op, min(p_name) as p from part group by all), "
     "u as (select bot_id, p, max(k) as k from s group by all) "

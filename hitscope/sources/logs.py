@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -137,14 +139,31 @@ def events(parsed: DataFrame, site_id: str) -> DataFrame:
     return parsed.filter("ok").select(F.lit(site_id).alias("site_id"), *FIELDS, none("country", "string"), none("asn", "bigint"), none("as_org", "string"))
 
 
-def read_log(spark: SparkSession, path: str, format: str, site_id: str, field_map: dict[str, str] | None = None) -> tuple[DataFrame, Observation]:
-    """A file's or folder's events, each distinct line once per file, and counters filled as the result is used:
-    lines_read, events, rejected."""
+@dataclass
+class Counters:
+    """What an import counted, known once its events have been used: every line read, events, and the rest, which were
+    repeated, blank or not recognised."""
+
+    lines: Observation
+    kept: Observation
+
+    def summary(self, batch: int = 5000) -> dict[str, Any]:
+        read, events = self.lines.get["lines_read"], self.kept.get["events"]
+        return {"lines_read": read, "events": events, "skipped": read - events, "batches": -(-events // batch), "recognised": not read or events > 0}
+
+    def message(self) -> str:
+        s = self.summary()
+        base = f"{s['events']} events from {s['lines_read']} lines ({s['skipped']} skipped)"
+        return base if s["recognised"] else f"{base}; no line was recognised: is this the log's format?"
+
+
+def read_log(spark: SparkSession, path: str, format: str, site_id: str, field_map: dict[str, str] | None = None) -> tuple[DataFrame, Counters]:
+    """A file's or folder's events, each distinct line once per file, and counters filled as the result is used."""
+    counted = Counters(Observation(), Observation())
     lines = spark.read.text(path).withColumnRenamed("value", "line").withColumn("_file", F.input_file_name())
-    counted = Observation()
+    lines = lines.observe(counted.lines, F.count(F.lit(1)).alias("lines_read"))
     parsed = parse(lines.dropDuplicates(["_file", "line"]).drop("_file"), format, field_map)
-    seen = parsed.observe(counted, F.count(F.lit(1)).alias("lines_read"), F.count_if("ok").alias("events"), F.count_if(~F.col("ok")).alias("rejected"))
-    return events(seen, site_id), counted
+    return events(parsed.observe(counted.kept, F.count_if("ok").alias("events")), site_id), counted
 
 
 def read_log_stream(spark: SparkSession, folder: str, format: str, site_id: str, field_map: dict[str, str] | None = None, files_per_batch: int = 100) -> DataFrame:

@@ -6,12 +6,15 @@ import csv
 import datetime as dt
 import io
 import json
-from collections.abc import Callable, Iterable
+import time
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hitscope.functions.ip import ip_key
 from hitscope.operators import rollups
 
 CHUNK = 5000
@@ -28,6 +31,16 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("basePath", path).parquet(path).withColumn("month", F.col("month").cast("string"))
 
 
+def _cell(v: Any) -> Any:
+    if v is None:
+        return ""
+    if isinstance(v, bool):
+        return str(v).lower()
+    if isinstance(v, float) and v.is_integer() and abs(v) < 2**53:
+        return int(v)
+    return json.dumps(v, default=str) if isinstance(v, dict | list) else v
+
+
 def to_csv(rows: Iterable[dict[str, Any]]) -> str:
     """Rows of a panel as CSV text: header of the first row's keys; nothing for no rows; nested values as JSON."""
     held = list(rows)
@@ -37,7 +50,7 @@ def to_csv(rows: Iterable[dict[str, Any]]) -> str:
     writer = csv.writer(out, lineterminator="\n")
     writer.writerow(held[0].keys())
     for r in held:
-        writer.writerow(["" if v is None else json.dumps(v, default=str) if isinstance(v, dict | list) else v for v in (r.get(k) for k in held[0])])
+        writer.writerow([_cell(r.get(k)) for k in held[0]])
     return out.getvalue()
 
 
@@ -61,43 +74,89 @@ def backup(events: DataFrame, path: str) -> dict[str, Any]:
     return manifest
 
 
-def restore(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """The events of a backup, checked against its manifest first, and every rollup built anew."""
+def restore(spark: SparkSession, path: str, to: str | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The events of a backup, checked against its manifest first, and every rollup built anew.
+
+    to: a folder into which both are written (events by month, each rollup beside them); what was written is counted
+    again before it is returned.
+    """
     manifest = json.loads(spark.read.text(f"{path}/manifest").first()[0])
     events = spark.read.parquet(f"{path}/events")
-    found = checksum(events)
-    if any(found[k] != manifest[k] for k in found):
-        raise ValueError(f"backup does not match its manifest: {found} against {manifest}")
-    return events, {name: rollups.build(events, name) for name in rollups.KEYS}
-
 
-def push(rows: DataFrame, send: Callable[[list[dict[str, Any]]], int], chunk: int = CHUNK, tries: int = 3) -> int:
-    """Sends rows in chunks to send, which returns how many it took; streamed from the partitions, never held whole.
-
-    A chunk that raises is tried again; after the last try the error goes up, with the number delivered as `delivered`.
+    def agree(found: dict[str, Any]) -> None:
+        if any(found[k] != manifest[k] for k in found):
+            raise ValueError(f"backup does not match its manifest: {found} against {manifest}")
+
+    agree(checksum(events))
+    if to is None:
+        return events, {name: rollups.build(events, name) for name in rollups.KEYS}
+    write_events(events, f"{to}/events", "overwrite")
+    written = read_events(spark, f"{to}/events")
+    agree(checksum(written.select(*events.columns)))
+    for name in rollups.KEYS:
+        rollups.build(written, name).write.mode("overwrite").parquet(f"{to}/{name}")
+    return written, {name: spark.read.parquet(f"{to}/{name}") for name in rollups.KEYS}
+
+
+class Retry(Exception):
+    """What `send` raises where another try may help: a full or failing server. after: seconds it asked to wait."""
+
+    def __init__(self, after: float | None = None):
+        super().__init__(after)
+        self.after = after
+
+
+def deliver(chunk: list[dict[str, Any]], send: Callable[[list[dict[str, Any]]], int], tries: int = 4, wait: Callable[[float], None] = time.sleep) -> int:
+    """How many rows of a chunk were taken. Retries after 250 ms, 500 ms and so on, 5 s at most, or as long as the server asked."""
+    pause = 0.25
+    for k in range(tries):
+        try:
+            return send(chunk)
+        except (Retry, OSError) as e:
+            if k == tries - 1:
+                raise
+            asked = e.after if isinstance(e, Retry) else None
+            wait(min(pause, 5.0) if asked is None else asked)
+            pause *= 2
+    return 0
+
+
+def push(rows: DataFrame, send: Callable[[list[dict[str, Any]]], int], chunk: int = CHUNK, tries: int = 4) -> dict[str, Any]:
+    """Sends rows in chunks from the executors: send gets a chunk and returns how many rows it took.
+
+    {delivered, failed, error}: a chunk that fails for good stops its partition, whose rows left count as failed; the
+    rows of other partitions are sent, and only the counts reach the driver. A task that is run again sends again.
     """
-    delivered = 0
-    held: list[dict[str, Any]] = []
-
-    def flush() -> None:
-        nonlocal delivered
-        for k in range(tries):
-            try:
-                delivered += send(held)
-                break
-            except OSError as e:
-                if k == tries - 1:
-                    e.delivered = delivered  # type: ignore[attr-defined]
-                    raise
-        held.clear()
-
-    for r in rows.toLocalIterator():
-        held.append(r.asDict(recursive=True))
-        if len(held) == chunk:
-            flush()
-    if held:
-        flush()
-    return delivered
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        delivered = failed = 0
+        error = None
+        for pdf in batches:
+            held = pdf.to_dict("records")
+            for i in range(0, len(held), chunk):
+                if error is None:
+                    try:
+                        delivered += deliver(held[i : i + chunk], send, tries)
+                        continue
+                    except Exception as e:  # told to the caller with what was delivered
+                        error = f"{type(e).__name__}: {e}"
+                failed += len(held[i : i + chunk])
+        yield pd.DataFrame({"delivered": [delivered], "failed": [failed], "error": [error]})
+
+    got = rows.mapInPandas(run, "delivered long, failed long, error string").agg(F.sum("delivered"), F.sum("failed"), F.max("error")).first()
+    return {"delivered": got[0] or 0, "failed": got[1] or 0, "error": got[2]}
+
+
+def read_networks(spark: SparkSession, path: str) -> DataFrame:
+    """(first, last, asn, country, as_org) of a range dump: tab-separated start, end, number, country, organisation; plain
+    or gzip. Rows whose ends are no two addresses of one family, or whose number is none of 32 bits, are passed over."""
+    cells = F.split(F.regexp_replace("value", "\r$", ""), "\t")
+    cell = lambda i: F.coalesce(F.get(cells, F.lit(i)), F.lit(""))
+    rows = spark.read.text(path).select(
+        ip_key(cell(0), mapped=False).alias("first"), ip_key(cell(1), mapped=False).alias("last"),
+        F.when(cell(2).rlike(r"\A[0-9]{1,19}\z"), cell(2).try_cast("bigint")).alias("asn"), cell(3).alias("country"), cell(4).alias("as_org"),
+    )
+    return rows.filter((F.char_length("first") == F.char_length("last")) & F.col("asn").between(0, 2**32 - 1))
 
 
 def cidrs_in(document: Any) -> list[str]:
