@@ -6,29 +6,66 @@ Late events are kept: partials add up whenever they come.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
+from hitscope.functions.request import visitor_hash
 from hitscope.operators import rollups
 from hitscope.operators.enrich import Dimensions, enrich, split_valid
+from hitscope.operators.sessions import IDLE_MINUTES
+
+#: How long after the newest hit a key's session is still known, in minutes.
+KEPT_MINUTES = 24 * 60
+STATE = "_key string, _start timestamp_ntz, _seen timestamp_ntz"
+
+
+def continued(valid: DataFrame, state: DataFrame, secret: str) -> tuple[DataFrame, DataFrame]:
+    """Valid raw events with session_start, and the sessions' state after them.
+
+    A hit at most IDLE_MINUTES after the last one seen of its key belongs to the open session, and so does any late
+    hit; hits of one micro-batch count by time. The state is (key, start, last seen) of each key; keys not seen for
+    KEPT_MINUTES before the newest hit are forgotten.
+    """
+    key = F.concat_ws("|", "site_id", visitor_hash(F.col("ip"), F.col("ts"), secret).cast("string"), F.coalesce("ua", F.lit("")))
+    rows = valid.withColumn("_key", key).join(state, "_key", "left")
+    order = W.partitionBy("_key").orderBy("ts")
+    idle = F.expr(f"interval {IDLE_MINUTES} minutes")
+    gap = F.col("ts") > F.greatest(F.lag("ts").over(order), F.col("_seen")) + idle
+    begun = rows.withColumn("_begun", F.when(F.coalesce(gap, F.lit(True)), F.col("ts")))
+    started = begun.withColumn("session_start", F.coalesce(F.last("_begun", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)), F.col("_start")))
+    now = started.groupBy("_key").agg(F.max_by("session_start", "ts").alias("_start"), F.greatest(F.max("ts"), F.max("_seen")).alias("_seen"))
+    every = now.unionByName(state.join(now, "_key", "left_anti"))
+    newest = every.agg(F.max("_seen").alias("_newest"))
+    kept = every.join(F.broadcast(newest), F.col("_seen") >= F.col("_newest") - F.expr(f"interval {KEPT_MINUTES} minutes")).drop("_newest")
+    return started.drop("_key", "_start", "_seen", "_begun"), kept
 
 
 def write_batch(raw: DataFrame, batch_id: int, out: str, dims: Dimensions, secret: str) -> None:
-    """One micro-batch: valid events enriched, rejected ones beside them, and each rollup's partial."""
+    """One micro-batch: valid events enriched, rejected ones beside them, each rollup's partial, and the sessions' state.
+
+    The state is read as the batch before left it, and written to the other one of two folders, so that a replayed
+    batch finds it again.
+    """
+    spark = raw.sparkSession
     valid, rejected = split_valid(raw)
-    enrich(valid, dims, secret).write.mode("overwrite").parquet(f"{out}/events/batch={batch_id}")
+    state = spark.createDataFrame([], STATE)
+    if batch_id:
+        state = spark.read.parquet(f"{out}/sessions/{(batch_id - 1) % 2}").filter(F.col("_batch") == batch_id - 1).drop("_batch")
+    started, after = continued(valid, state, secret)
+    enrich(started, dims, secret).write.mode("overwrite").parquet(f"{out}/events/batch={batch_id}")
     rejected.write.mode("overwrite").parquet(f"{out}/rejected/batch={batch_id}")
-    events = raw.sparkSession.read.parquet(f"{out}/events/batch={batch_id}")
+    after.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{out}/sessions/{batch_id % 2}")
+    events = spark.read.parquet(f"{out}/events/batch={batch_id}")
     for name in rollups.KEYS:
         rollups.build(events, name).write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
 
 
 def ingest(stream: DataFrame, out: str, checkpoint: str, dims: Dimensions, secret: str, trigger: dict[str, Any] | None = None) -> StreamingQuery:
+    """Raw events to tables. Sessions go on across micro-batches."""
     return (
         stream.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "2 seconds"}))
         .foreachBatch(lambda raw, batch_id: write_batch(raw, batch_id, out, dims, secret)).start()
@@ -45,46 +82,6 @@ def compact(spark: SparkSession, out: str, name: str, to: str) -> None:
     read_rollup(spark, out, name).write.mode("overwrite").parquet(to)
 
 
-class SessionProcessor(StatefulProcessor):
-    """Session starts in order of arrival: a hit at most IDLE after the last one seen belongs to the open session,
-    and so does any late hit. State of keys idle for longer is dropped."""
-
-    IDLE_US = 30 * 60 * 1_000_000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("session", "start long, seen long")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
-        held = self.state.get() if self.state.exists() else None
-        start, seen = (held[0], held[1]) if held else (None, None)
-        for pdf in rows:
-            starts = []
-            for us in pdf["us"]:
-                us = int(us)
-                if start is None or us - seen > self.IDLE_US:
-                    start = seen = us
-                seen = max(seen, us)
-                starts.append(start)
-            yield pd.DataFrame({"event_id": pdf["event_id"], "key": key[0], "us": pdf["us"], "start_us": starts})
-        if start is not None:
-            self.state.update((start, seen))
-
-    def handleExpiredTimer(self, key: Any, timer_values: Any, expired_timer_info: Any) -> Iterator[pd.DataFrame]:
-        self.state.clear()
-        yield pd.DataFrame({"event_id": [], "key": [], "us": [], "start_us": []})
-
-    def close(self) -> None:
-        pass
-
-
-def stream_sessions(stream: DataFrame) -> DataFrame:
-    """(event_id long, key string, us long) to the same with start_us, statefully; needs the RocksDB state store."""
-    return stream.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=SessionProcessor(), outputStructType="event_id long, key string, us long, start_us long", outputMode="append", timeMode="processingTime"
-    )
-
-
 def distinct_lines(lines: DataFrame, delay: str = "1 day") -> DataFrame:
     """Lines of a stream once each, within a watermark on `seen_at`."""
     return lines.withWatermark("seen_at", delay).withColumn("line_hash", F.sha2("line", 256)).dropDuplicatesWithinWatermark(["line_hash"]).drop("line_hash")
