@@ -10,8 +10,8 @@ How it is computed: hash and position are packed into one long and sorted, so th
 do bins. One pass each; no array is searched for each of its elements.
 
 Defined cases: a null text is empty; an empty text has no slot and the fingerprint ''; two such are wholly alike;
-repeated rows have equal fingerprints; extra columns named like an output are replaced; in texts of over 16,777,216
-words positions are kept in coarser steps (order within a step is by hash).
+repeated rows have equal fingerprints; extra columns named like the output are replaced, others stay as they are. A
+position has as many bits as an array has places, so that texts of every length are treated alike.
 """
 
 from __future__ import annotations
@@ -20,10 +20,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hitscope.llm.common import documents, materialize, words
+from hitscope.llm.common import documents, materialize, unused, words
 
 K, TUPLE, BINS_LOG2, SLOT_BITS = 3, 2, 6, 24
-POSITION_BITS = 24
+POSITION_BITS = 31
 #: Rounds of pointer jumping; each multiplies the run length that is resolved by JUMPS.
 JUMPS, ROUNDS = 8, 11
 SEGMENTS, ROWS_A_BUCKET = 256, 20_000
@@ -35,43 +35,43 @@ def _bin(x: Column) -> Column:
 
 def with_slots(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds the slots of a text: array<int>, bin number and tuple hash in one."""
-    names = df.columns
+    own = [c for c in df.columns if c != out]
+    w, s, n, run, g, top = (unused(c, df.columns) for c in ("_w", "_s", "_n", "_run", "_g", "_top"))
     low = (1 << POSITION_BITS) - 1
-    at = lambda i: F.get("_w", i)
-    one = df.withColumn("_w", words(F.col(text))).withColumn("_step", F.greatest(F.length(F.bin(F.size("_w").cast("long"))) - POSITION_BITS, F.lit(0)))
+    at = lambda i: F.get(w, i)
+    one = df.withColumn(w, words(F.col(text)))
     two = one.withColumn(
-        "_s",
-        F.sort_array(F.transform("_w", lambda x, i: F.shiftleft(F.xxhash64(x, *[at(i + j) for j in range(1, K)]), POSITION_BITS).bitwiseOR(F.call_function("shiftright", i, F.col("_step")).cast("long")))),
+        s, F.sort_array(F.transform(w, lambda x, i: F.shiftleft(F.xxhash64(x, *[at(i + j) for j in range(1, K)]), POSITION_BITS).bitwiseOR(i.cast("long")))),
     )
     hashed = lambda x: F.shiftright(x, POSITION_BITS)
-    repeats = lambda x, i: hashed(x) == hashed(F.get("_s", i - 1))
-    now = two.withColumn("_n", F.size(F.filter("_s", repeats)))
-    now = now.withColumn("_run", F.when(F.col("_n") > 0, F.transform("_s", lambda x, i: F.when(repeats(x, i), i - 1).otherwise(i))))
+    repeats = lambda x, i: hashed(x) == hashed(F.get(s, i - 1))
+    now = two.withColumn(n, F.size(F.filter(s, repeats)))
+    now = now.withColumn(run, F.when(F.col(n) > 0, F.transform(s, lambda x, i: F.when(repeats(x, i), i - 1).otherwise(i))))
     for r in range(ROUNDS):
         def jump(v: Column) -> Column:
             for _ in range(JUMPS - 1):
-                v = F.get("_run", v)
+                v = F.get(run, v)
             return v
 
-        now = now.withColumn("_run", F.when(F.col("_n") > JUMPS**r - 1, F.transform("_run", jump)).otherwise(F.col("_run")))
+        now = now.withColumn(run, F.when(F.col(n) > JUMPS**r - 1, F.transform(run, jump)).otherwise(F.col(run)))
     renumbered = F.transform(
-        "_s",
+        s,
         lambda x, i: F.when(
-            F.get("_run", i) == i, x
-        ).otherwise(F.shiftleft(F.xxhash64(hashed(x), i - F.get("_run", i)), POSITION_BITS).bitwiseOR(x.bitwiseAND(F.lit(low)))),
+            F.get(run, i) == i, x
+        ).otherwise(F.shiftleft(F.xxhash64(hashed(x), i - F.get(run, i)), POSITION_BITS).bitwiseOR(x.bitwiseAND(F.lit(low)))),
     )
-    now = now.withColumn("_g", F.when(F.col("_n") > 0, F.sort_array(renumbered)).otherwise(F.col("_s")))
-    now = now.withColumn("_top", F.filter("_g", lambda x, i: F.coalesce(_bin(x) != _bin(F.get("_g", i - TUPLE)), F.lit(True))))
+    now = now.withColumn(g, F.when(F.col(n) > 0, F.sort_array(renumbered)).otherwise(F.col(s)))
+    now = now.withColumn(top, F.filter(g, lambda x, i: F.coalesce(_bin(x) != _bin(F.get(g, i - TUPLE)), F.lit(True))))
 
     def slot(x: Column, i: Column) -> Column:
-        members = [F.when(_bin(F.get("_top", i + j)) == _bin(x), F.get("_top", i + j)) for j in range(TUPLE)]
+        members = [F.when(_bin(F.get(top, i + j)) == _bin(x), F.get(top, i + j)) for j in range(TUPLE)]
         by_place = F.array_sort(F.array(*[F.struct(m.bitwiseAND(F.lit(low)).alias("p"), hashed(m).alias("h")) for m in members]))
         tuple_hash = F.xxhash64(*[F.get(by_place, F.lit(j))["h"] for j in range(TUPLE)])
         value = F.shiftleft(_bin(x), SLOT_BITS).bitwiseOR(F.shiftrightunsigned(tuple_hash, 64 - SLOT_BITS)).cast("int")
-        return F.when(F.coalesce(_bin(x) != _bin(F.get("_top", i - 1)), F.lit(True)), value)
+        return F.when(F.coalesce(_bin(x) != _bin(F.get(top, i - 1)), F.lit(True)), value)
 
-    now = now.withColumn(out, F.array_compact(F.transform("_top", slot)))
-    return now.select(*[c for c in names if c != out], out)
+    now = now.withColumn(out, F.array_compact(F.transform(top, slot)))
+    return now.select(*[F.col(f"`{c}`") for c in own], out)
 
 
 def written(slots: Column) -> Column:
@@ -116,14 +116,15 @@ def descending_bucket(docs: DataFrame, key: str) -> Column:
 def with_next(docs: DataFrame, key: str, carried: list[str], bucket: Column, firsts: DataFrame) -> DataFrame:
     """docs with next_<c> for each carried column: the value in the next row by falling key, after the last the first.
 
-    firsts: (_bucket, and the carried columns) of the first row of each bucket.
+    firsts: (_bucket, and the carried columns) of the first row of each bucket. The one window over all buckets holds
+    their numbers only; values are joined to it.
     """
     order = W.partitionBy("_bucket").orderBy(F.col(key).desc_nulls_last(), F.xxhash64("text").desc())
     every = W.partitionBy().orderBy("_bucket")
     value = F.struct(*carried)
-    follow = firsts.select(
-        "_bucket", F.coalesce(F.lead(value).over(every), F.first(value).over(every.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("_follow")
-    )
+    lead = F.coalesce(F.lead("_bucket").over(every), F.first("_bucket").over(every.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    after = firsts.select("_bucket").withColumn("_after", lead)
+    follow = after.join(firsts.select(F.col("_bucket").alias("_after"), value.alias("_follow")), "_after").drop("_after")
     found = docs.withColumn("_bucket", bucket).withColumn("_lead", F.lead(value).over(order)).join(follow, "_bucket")
     taken = F.coalesce("_lead", "_follow")
     return found.select("*", *[taken[c].alias(f"next_{c}") for c in carried]).drop("_bucket", "_lead", "_follow")

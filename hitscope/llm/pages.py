@@ -15,6 +15,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -25,9 +26,72 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
-)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: What stands between attributes, and an attribute with its value. Each match is decided by its next character alone.
+BETWEEN, NAME, VALUE = re.compile(r"[\s/]*"), re.compile(r"=?[^\s/>=]*"), re.compile(r"\s*=\s*")
+BARE = re.compile(r"[^\s>]*")
+
+
+def tag_end(page: str, at: int) -> tuple[int, bool]:
+    """The place after the tag whose attributes start at `at`, -1 if it is never closed; whether it ends with a slash.
+
+    A quote counts only where a value starts, as in browsers, and each character is passed once.
+    """
+    n = len(page)
+    while at < n:
+        m = BETWEEN.match(page, at)
+        at = m.end()
+        if at < n and page[at] == ">":
+            return at + 1, m[0].endswith("/")
+        at = NAME.match(page, at).end()
+        m = VALUE.match(page, at)
+        if m:
+            at = m.end()
+            if at < n and page[at] in "\"'":
+                end = page.find(page[at], at + 1)
+                if end < 0:
+                    return -1, False
+                at = end + 1
+            else:
+                at = BARE.match(page, at).end()
+    return -1, False
+
+
+@dataclass
+class Token:
+    """A tag, or with an empty name what is no content (comments, declarations); end: the place after it."""
+
+    start: int
+    end: int
+    name: str = ""
+    closing: bool = False
+    attributes: str = ""
+    slash: bool = False
+
+
+def next_token(page: str, at: int) -> Token | None:
+    """The first tag, comment or declaration from `at` on. One that is never closed takes the rest of the page."""
+    n = len(page)
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            return Token(start, n if end < 0 else end + 3)
+        if page.startswith("<![CDATA[", start):
+            end = page.find("]]>", start + 9)
+            return Token(start, n if end < 0 else end + 3)
+        if page.startswith(("<!", "<?"), start):
+            end = page.find(">", start)
+            return Token(start, n if end < 0 else end + 1)
+        m = TAG.match(page, start)
+        if m:
+            end, slash = tag_end(page, m.end())
+            if end < 0:
+                return Token(start, n)
+            return Token(start, end, m[2].lower(), bool(m[1]), page[m.end() : end - 1], slash)
+        at = start + 1
+    return None
+
+
 RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "template", "noscript", "iframe", "textarea", "title", "svg", "object")}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -91,6 +155,7 @@ class Tree:
         self.depth, self.place, self.text, self.link = [0], [0], [""], [False]
         stack = [0]
         kids = [0]
+        opened = Counter()
         in_link = 0
         at, n = 0, len(page)
 
@@ -113,39 +178,41 @@ class Tree:
             while len(stack) > to:
                 node = stack.pop()
                 kids.pop()
+                opened[self.tag[node]] -= 1
                 self.end[node] = len(self.tag)
                 if self.tag[node] == "a":
                     in_link -= 1
 
         text_bits = 1 << _KIND_OF["#text"]
         while at < n:
-            m = TOKEN.search(page, at)
-            stop = m.start() if m else n
+            token = next_token(page, at)
+            stop = token.start if token else n
             if stop > at:
                 raw = page[at:stop]
                 if not raw.isspace():
                     add("#text", text_bits, raw)
                 elif self.tag[-1] == "#text" or len(stack) > 1:
                     add("#space", 0, " ")
-            if not m:
+            if not token:
                 break
-            at = m.end()
-            name = m[2]
-            if name is None:
+            at, name = token.end, token.name
+            if not name:
                 continue
-            name = name.lower()
-            if m[1]:
+            if token.closing:
+                if not opened[name]:
+                    continue
                 for k in range(len(stack) - 1, 0, -1):
                     if self.tag[stack[k]] == name:
                         close(k)
                         break
                 continue
             if name in RAW:
-                if not m[3].rstrip().endswith("/"):
+                # a slash closes such an element in embedded drawings only
+                if not (token.slash and name == "svg"):
                     e = RAW[name].search(page, at)
                     at = e.end() if e else n
                 continue
-            if name in CLOSES:
+            if any(opened[t] for t in CLOSES.get(name, ())):
                 for k in range(len(stack) - 1, 0, -1):
                     t = self.tag[stack[k]]
                     if t in CLOSES[name]:
@@ -155,12 +222,13 @@ class Tree:
             if name in VOID:
                 add("#space" if name in ("br", "wbr") else name, 0, " " if name == "br" else "")
                 continue
-            node = add(name, flags(name, m[3]), "")
-            if m[3].rstrip().endswith("/") and name not in BLOCK and name != "a":
+            node = add(name, flags(name, token.attributes), "")
+            if token.slash and name not in BLOCK and name != "a":
                 self.end[node] = len(self.tag)
                 continue
             stack.append(node)
             kids.append(0)
+            opened[name] += 1
             in_link += name == "a"
         close(0)
         self.end = [e or i + 1 for i, e in enumerate(self.end)]

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitscope.llm.common import documents, materialize
+from hitscope.llm.common import documents, materialize, unused
 
 WINDOW, PREFIX, LARGE = 35, 8, 1000
 PLACES = WINDOW - PREFIX + 1  # of an anchor within its window
@@ -337,21 +337,23 @@ def _kept(text: str | None, marks) -> tuple[int, int, str]:
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
-    """docs with kept_text, n_words and n_removed added."""
+    """docs with kept_text, n_words and n_removed added; own columns of these names are replaced, others stay as they are."""
     from pyspark.sql import types as T
 
-    base = docs.drop("kept_text", "n_words", "n_removed")
-    keyed = base.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long"))).withColumn("_th", F.xxhash64("text"))
-    found = materialize(repeats(keyed.select(F.col("_id").alias("doc_id"), "text", F.col("_th").alias("th"))), "repeats")
-    marks = found.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set(F.struct("pos", "mask")).alias("_marks"))
-    joined = keyed.join(marks, ["_id", "_th"], "left").drop("_id", "_th")
-    fields = [f for f in joined.schema.fields if f.name != "_marks"]
+    added = ("kept_text", "n_words", "n_removed")
+    own = [c for c in docs.columns if c not in added]
+    key, th, marks_of = (unused(c, own) for c in ("_id", "_th", "_marks"))
+    keyed = docs.select(*[F.col(f"`{c}`") for c in own], F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")).alias(key), F.xxhash64("text").alias(th))
+    found = materialize(repeats(keyed.select(F.col(key).alias("doc_id"), "text", F.col(th).alias("th"))), "repeats")
+    marks = found.groupBy(F.col("doc_id").alias(key), F.col("th").alias(th)).agg(F.collect_set(F.struct("pos", "mask")).alias(marks_of))
+    joined = keyed.join(marks, [key, th], "left").drop(key, th)
+    fields = [f for f in joined.schema.fields if f.name != marks_of]
     schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [_kept(t, m) for t, m in zip(pdf["text"], pdf["_marks"], strict=True)]
-            pdf = pdf.drop(columns="_marks")
+            got = [_kept(t, m) for t, m in zip(pdf["text"], pdf[marks_of], strict=True)]
+            pdf = pdf.drop(columns=marks_of)
             pdf["n_words"], pdf["n_removed"], pdf["kept_text"] = [g[0] for g in got], [g[1] for g in got], [g[2] for g in got]
             yield pdf
 

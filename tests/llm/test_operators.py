@@ -4,7 +4,7 @@ import collections
 import datetime
 import hashlib
 import itertools
-import json
+import time
 import zlib
 
 import numpy as np
@@ -139,6 +139,8 @@ def test_next_document(spark, rows):
         if i != 140:
             assert got[i] == t
     assert orderminhash.with_slots(empty(spark), "text", "s").count() == 0
+    clash = spark.createDataFrame([("a b c", 1, 2)], "text string, _w int, _s int")
+    assert orderminhash.with_slots(clash, "text", "s").columns == ["text", "_w", "_s", "s"]
 
 
 def test_extraction():
@@ -152,6 +154,11 @@ def test_extraction():
     for page, text in cases.items():
         assert pages.extract([page], model) == [text]
     assert pages.extract([None, "", "   ", "<", "<p", "</p></div>", "<!-- x"], model)[:3] == ["", "", ""]
+    leaks = [
+        "<article><p>Before the code there is some text here.</p><script src=x />var leaked = 1;</script><p>After it there is more of it.</p></article>",
+        "<article><p>Before the code there is some text here.</p><div title=it's class='a'></div><p>After it there is more of it.</p></article>",
+    ]
+    assert pages.extract(leaks, model) == ["Before the code there is some text here.\nAfter it there is more of it."] * 2
     fresh = pages.labelled_pages(150, seed=4)
     good = bad = lost = 0
     for p, t in zip(fresh, pages.extract(fresh, model), strict=True):
@@ -162,10 +169,19 @@ def test_extraction():
     assert good / (good + lost) > 0.97 and good / (good + bad) > 0.97
 
 
+@pytest.mark.parametrize("piece", ["<a \"", "<", "<p", "<!--", "</i><b>", "<b>", "<p><b>", "<script>", "<x =\"", "<x  /", "</p>", "<b></i>"])
+def test_scanning_takes_time_in_proportion(piece):
+    page = piece * (1_000_000 // len(piece))
+    began = time.process_time()
+    pages.Tree(page)
+    assert time.process_time() - began < 8
+
+
 def test_extraction_of_a_table(spark):
     df = spark.createDataFrame([(1, None, "u"), (2, "<article><p>Some text that is kept in full.</p></article>", "v")], "page_id long, html string, text string")
     got = {r["page_id"]: r["text"] for r in pages.extract_text(df).collect()}
     assert got == {1: "", 2: "Some text that is kept in full."}
+    assert pages.extract_text(df.limit(0)).count() == 0
 
 
 def test_closest_fill_is_the_best():
@@ -286,6 +302,9 @@ def test_substrings(spark, docs, rows, monkeypatch, large):
     got = collections.Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in substrings.substring_dedup(docs).collect())
     assert got == collections.Counter((i, *x) for (i, _), x in zip(rows, brute_repeats([t for _, t in rows]), strict=True))
     assert substrings.substring_dedup(empty(spark)).count() == 0
+    clash = docs.select("doc_id", "text", F.lit("x").alias("_id"), F.lit("y").alias("_marks"), F.lit(5).alias("_th"))
+    kept = substrings.substring_dedup(clash)
+    assert kept.columns == [*clash.columns, "n_words", "n_removed", "kept_text"] and kept.filter("_id = 'x' and _marks = 'y' and _th = 5").count() == len(rows)
 
 
 def test_chat(spark):
