@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -45,6 +46,21 @@ def test_stages(spark, docs, tmp_path):
     assert kept[4] == kept[3] == kept[2]
 
 
+def test_stages_leave_other_columns_alone(spark, docs):
+    names = ["n_words", "n_removed", "kept_text", "_id", "_th", "_marks", "_row", "_r", "lang_pred", "rejected", "own_0", "h", "root"]
+    odd = docs.select("*", *[F.concat_ws("-", F.lit(n), "doc_id").alias(n) for n in names]).withColumn("tags", F.create_map(F.lit("a"), F.col("doc_id")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, "")
+        assert out.columns == odd.columns, name
+        assert out.filter(" or ".join(f"`{n}` != concat_ws('-', '{n}', doc_id)" for n in names)).count() == 0
+        assert out.filter("tags['a'] != doc_id").count() == 0 and out.count() > 0
+
+
+def test_stages_take_empty_tables(spark, docs):
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), "").count() == 0
+
+
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names and [n for n in range(1, 11) if not any(k.startswith(f"op{n}_") for k in names)] == []
