@@ -164,19 +164,19 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits a model on at most `sample` rows with text and lang that are not held out."""
     open_rows = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    place = F.xxhash64("doc_id")
+    place = F.xxhash64("doc_id", "text", "lang")
     first = open_rows.select(place.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     if first is None:
         return fit([], [])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for k, lang, t in zip(pdf["k"], pdf["lang"], pdf["text"], strict=True):
-                u, w = profile(t)
-                yield pd.DataFrame({"k": [k], "lang": [lang], "u": [u.astype(np.int32)], "w": [w]})
+            found = [profile(t) for t in pdf["text"]]
+            yield pd.DataFrame({"k": pdf["k"], "lang": pdf["lang"], "u": [u.astype("<u2").tobytes() for u, _ in found], "w": [w.astype("<f4").tobytes() for _, w in found]})
 
-    taken = open_rows.filter(place <= F.lit(first)).select(F.xxhash64("doc_id", "text", "lang").alias("k"), "lang", "text").limit(sample)
-    rows = sorted(taken.mapInPandas(run, "k long, lang string, u array<int>, w array<float>").collect(), key=lambda r: (r["k"], r["lang"]))
-    return fit([(np.array(r["u"], np.int64), np.array(r["w"], np.float32)) for r in rows], [r["lang"] for r in rows])
+    taken = open_rows.filter(place <= F.lit(first)).select(place.alias("k"), "lang", "text")
+    rows = sorted(taken.mapInPandas(run, "k long, lang string, u binary, w binary").limit(sample).collect(), key=lambda r: (r["k"], r["lang"]))
+    return fit([(np.frombuffer(r["u"], "<u2").astype(np.int64), np.frombuffer(r["w"], "<f4")) for r in rows], [r["lang"] for r in rows])
 
 
 def judged(text: Column, model: Model, spark: SparkSession) -> Column:
