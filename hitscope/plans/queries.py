@@ -13,6 +13,7 @@ from hitscope.functions import ip, request
 from hitscope.functions.agents import classify
 from hitscope.operators import ranges, rollups, sessions
 from hitscope.plans import alerts, derived, explore, panels
+from hitscope.sources import logs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -137,6 +138,56 @@ def _ip_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.join(found, "key", "left").select("ip", "key", F.coalesce("asn", F.lit(0)).alias("asn"), F.coalesce("country", F.lit("")).alias("country"), F.coalesce("as_org", F.lit("")).alias("as_org"))
 
 
+#: Networks that nest, of both families: first, last, number.
+NESTED = [
+    ("10.0.0.0", "10.0.255.255", 1), ("10.0.1.0", "10.0.1.7", 2), ("10.0.2.0", "10.0.2.255", 0), ("10.0.3.16", "10.0.3.31", 3),
+    ("2001:db8::", "2001:db8:3:ffff:ffff:ffff:ffff:ffff", 4), ("2001:db8:1::", "2001:db8:1::f", 5), ("2001:db8:5::10", "2001:db8:5::1f", 6),
+]
+
+
+def _nested(spark: SparkSession, sf_dir: str, family: int) -> DataFrame:
+    """Addresses made from the events, looked up in networks that nest."""
+    four = F.concat(F.lit("10.0."), (F.col("event_id") % 5).cast("string"), F.lit("."), (F.col("user_id") % 40).cast("string"))
+    six = F.concat(F.lit("2001:DB8:"), F.lower(F.hex(F.col("event_id") % 7)), F.lit("::"), F.lower(F.hex(F.col("user_id") % 40)))
+    asked = spark.read.parquet(f"{sf_dir}/events.parquet").select((four if family == 4 else six).alias("ip")).distinct().withColumn("key", ip.ip_key(F.col("ip")))
+    nets = spark.createDataFrame(NESTED, "a string, b string, asn long").select(ip.ip_key(F.col("a")).alias("first"), ip.ip_key(F.col("b")).alias("last"), "asn")
+    found = ranges.latest(asked, nets, "key", ["asn"]).filter("asn != 0")
+    return asked.join(found, "key", "left").select("ip", "key", F.coalesce("asn", F.lit(0)).alias("asn"))
+
+
+def _cidr_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = F.concat(F.lit("10."), (F.col("o_orderkey") % 256).cast("string"), F.lit("."), (F.col("o_custkey") % 256).cast("string"), F.lit(".77/"), (F.col("o_orderkey") % 33).cast("string"))
+    return ranges.from_cidrs(spark.read.parquet(f"{sf_dir}/orders.parquet").select(made.alias("cidr")).distinct()).select("cidr", "first", "last")
+
+
+def _log(format: str) -> Query:
+    """The log written as lines of a format, with two that are refused, and read again."""
+
+    def lines(raw: DataFrame) -> DataFrame:
+        c = F.col
+        if format in ("apache", "nginx-combined"):
+            line = F.format_string('%s - - [%s +0100] "%s %s HTTP/1.1" %s %s "%s" "%s"', c("ip"), F.date_format(c("ts") + F.expr("interval 1 hour"), "dd/MMM/yyyy:HH:mm:ss"), c("method"), c("path"), c("status"), c("bytes"), c("referer"), c("ua"))
+        else:
+            iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+            seconds = F.unix_timestamp(c("ts").cast("timestamp"))
+            fields = {
+                "nginx-json": F.struct(iso.alias("time_iso8601"), c("ip").alias("remote_addr"), c("method").alias("request_method"), c("path").alias("request_uri"), "status", c("bytes").alias("body_bytes_sent"), c("ua").alias("http_user_agent"), c("referer").alias("http_referer")),
+                "caddy-json": F.struct(seconds.alias("ts"), F.struct(c("ip").alias("remote_ip"), "method", c("path").alias("uri"), F.struct(F.array("ua").alias("User-Agent"), F.array("referer").alias("Referer")).alias("headers")).alias("request"), "status", c("bytes").alias("size")),
+                "cloudflare-ndjson": F.struct((seconds * 1_000_000_000).alias("EdgeStartTimestamp"), c("ip").alias("ClientIP"), c("method").alias("ClientRequestMethod"), F.concat(F.lit("https://h.example"), c("path")).alias("ClientRequestURI"), c("status").alias("EdgeResponseStatus"), c("bytes").alias("EdgeResponseBytes"), c("ua").alias("ClientRequestUserAgent"), c("referer").alias("ClientRequestReferer")),
+                "jsonl": F.struct(iso.alias("when"), F.struct("ip").alias("client"), F.struct("method", "path").alias("http"), "status", c("bytes").alias("n"), "ua", "referer"),
+            }
+            line = F.to_json(fields[format])
+        return raw.select(line.alias("line")).unionByName(raw.sparkSession.createDataFrame([("neither this",), ('{"status": 200}',)], "line string"))
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        wanted = logs.field_map_of("ts=when,ip=client.ip,method=http.method,path=http.path,status=status,bytes=n,ua=ua,referer=referer") if format == "jsonl" else None
+        raw = derived.raw(spark, sf_dir).withColumn("ts", F.date_trunc("second", "ts").cast("timestamp_ntz"))
+        got = logs.events(logs.parse(lines(raw), format, wanted), "s")
+        return got.groupBy("ts", "ip", "method", "path", "status", "bytes", "ua", "referer").agg(F.count(F.lit(1)).alias("n"))
+
+    return run
+
+
 def _registry_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part table's brands and types as three ranked sources of entries."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
@@ -179,6 +230,22 @@ def _early(minutes: int, f: Callable[[panels.Panels, int], DataFrame]) -> Query:
 
 _EARLY = "timestamp '2024-01-01 06:00:00'"
 
+#: Kinds of actors in the derived log.
+_KINDS = ["ai_fetcher", "ai_search", "ai_training", "human", "monitoring", "other_bot", "search_engine", "seo_tool", "social"]
+
+
+def _hourly_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = derived.panels(spark, sf_dir).hourly_wide(HOURS)
+    return wide.select("t", *[F.col(k) if k in wide.columns else F.lit(None).cast("bigint").alias(k) for k in _KINDS])
+
+
+def _truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the panel of bots says that it shows all of them, by the number it may show."""
+    p = derived.panels(spark, sf_dir)
+    said = [(most, *(x if isinstance(x, bool) else x.count() for x in p.bots(HOURS, most))) for most in (3, 100)]
+    return spark.createDataFrame(said, "most int, shown long, more boolean")
+
+
 QUERIES: dict[str, Query] = {
     "enriched_events": lambda s, d: _plain(derived.enriched(s, d)).drop("query", "topic_id"),
     "kpis": _panel(lambda p: p.kpis(HOURS)),
@@ -220,6 +287,11 @@ QUERIES: dict[str, Query] = {
     "referral_class": _raw(lambda r: r.select("referer", "path").distinct().select("referer", "path", request.referral(F.col("referer"), request.query(F.col("path"))).alias("source"))),
     "ua_class": _raw(lambda r: r.select("ua").distinct().withColumn("c", classify(F.col("ua"), registry.entries())).select("ua", "c.*")),
     "ip_network": _ip_network,
+    "ip_network_nested": lambda s, d: _nested(s, d, 4),
+    "ip_network_v6": lambda s, d: _nested(s, d, 6),
+    "cidr_ends": _cidr_ends,
+    "hourly_wide": _hourly_wide,
+    "bots_truncated": _truncated,
     "ip_verify": lambda s, d: derived.stored(s, d).filter("bot_id != ''").groupBy("bot_id", "bot_ip", "verification").agg(F.count(F.lit(1)).alias("hits")),
     "merged_ranges": _merged_ranges,
     "sessions": lambda s, d: _plain(derived.stored(s, d).groupBy("session_id").agg(F.count(F.lit(1)).alias("hits"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))),
@@ -232,7 +304,7 @@ QUERIES: dict[str, Query] = {
     "robots_tokens": lambda s, d: textgen.robots_tokens(registry.frame(s), {"training": "deny", "search": "allow", "fetch": "allow"}),
     "page_urls": _page_urls,
     "user_sessions": lambda s, d: sessions.with_session_start(s.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "ts"), ["user_id"]).select("event_id", "session_start"),
-} | {f"explore_{m}_{d}": _explore(m, d) for m, d in EXPLORED} | {"explore_filtered": _explore("hits", "path_group", {"operator": "openai", "verification": "verified", "country": ""})}
+} | {f"log_{f.replace('-', '_')}": _log(f) for f in ("apache", "nginx-combined", "nginx-json", "caddy-json", "cloudflare-ndjson", "jsonl")} | {f"explore_{m}_{d}": _explore(m, d) for m, d in EXPLORED} | {"explore_filtered": _explore("hits", "path_group", {"operator": "openai", "verification": "verified", "country": ""})}
 
 _ROBOTS = ", ".join(f"('{e['ua_patterns'][0]}', {str(e['actor_type'] == 'ai_training').lower()})" for e in registry.entries() if e["actor_type"] in textgen.CATEGORIES and e["bot_id"] != "spider")
 
@@ -287,6 +359,30 @@ SQL: dict[str, str] = {
     "explore_filtered": _q("select path_group as key, count(*) as value from w where operator = 'openai' and verification = 'verified' group by 1 order by 2 desc, 1 limit 50", _W1),
 } | {f"explore_{m}_{d}": _q(f"select {_DIMENSION[d]} as key, cast({_METRIC[m]} as bigint) as value from w group by 1 order by 2 desc, 1 limit 50", _W1) for m, d in EXPLORED}
 SQL["top_pages_search"] = SQL["top_pages"].replace("from w group by", "from w where path_group ilike '%blog%' group by")
+_WRITTEN = f"""with {_RAW} select date_trunc('second', ts)::timestamp as ts, ip, upper(method) as method, path, status, bytes, ua, referer, count(*) as n from raw group by all"""
+SQL |= {f"log_{f}": _WRITTEN for f in ("apache", "nginx_combined", "nginx_json", "caddy_json", "cloudflare_ndjson", "jsonl")}
+SQL["hourly_wide"] = _q("select date_trunc('hour', ts)::timestamp as t, " + ", ".join(f"nullif(count(*) filter (actor_type = '{k}'), 0) as {k}" for k in _KINDS) + f" from w where {_REAL} group by 1", _W1)
+SQL["bots_truncated"] = _q("select most::int as most, least(most, n)::bigint as shown, n > most as more from (select count(distinct bot_id) as n from w where bot_id <> ''), (values (3), (100)) t(most)", _W1)
+_V4 = "{0}0a00' || lpad(lower(to_hex({1})), 2, '0') || lpad(lower(to_hex({2})), 2, '0')"
+_V6 = "{0}20010db8' || lpad(lower(to_hex({1})), 4, '0') || repeat('0', 16) || lpad(lower(to_hex({2})), 4, '0')"
+_ASKED = {
+    "ip_network_nested": ("'10.0.' || event_id % 5 || '.' || user_id % 40", _V4.format("'", "event_id % 5", "user_id % 40"), [("0a000000", "0a00ffff", 1), ("0a000100", "0a000107", 2), ("0a000200", "0a0002ff", 0), ("0a000310", "0a00031f", 3)]),
+    "ip_network_v6": (
+        "'2001:DB8:' || lower(to_hex(event_id % 7)) || '::' || lower(to_hex(user_id % 40))", _V6.format("'", "event_id % 7", "user_id % 40"),
+        [("20010db8" + "0" * 24, "20010db80003" + "f" * 20, 4), ("20010db80001" + "0" * 20, "20010db80001" + "0" * 19 + "f", 5), ("20010db80005" + "0" * 18 + "10", "20010db80005" + "0" * 18 + "1f", 6)],
+    ),
+}
+for _name, (_ip, _key, _nets) in _ASKED.items():
+    _values = ", ".join(f"('{a}', '{b}', {k}::bigint)" for a, b, k in _nets)
+    SQL[_name] = (
+        f"with a as (select distinct {_ip} as ip, {_key} as key from events), r(first, last, asn) as (values {_values}) "
+        "select ip, key, case when key <= last then asn else 0 end as asn from (select a.*, coalesce(r.last, '') as last, coalesce(r.asn, 0) as asn from a asof left join r on a.key >= r.first)"
+    )
+SQL["cidr_ends"] = (
+    "with c as (select distinct o_orderkey % 256 as x, o_custkey % 256 as y, o_orderkey % 33 as b from orders), "
+    "n as (select *, 10::bigint * 16777216 + x * 65536 + y * 256 + 77 as ip, (1::bigint << (32 - b)::int) as size from c) "
+    "select '10.' || x || '.' || y || '.77/' || b as cidr, lpad(lower(to_hex(ip - ip % size)), 8, '0') as first, lpad(lower(to_hex(ip - ip % size + size - 1)), 8, '0') as last from n"
+)
 SQL["registry_merge"] = (
     "with s as (select p_partkey % 3 as k, trim(regexp_replace(lower('Bot ' || p_brand), '[^a-z0-9]+', '-', 'g'), '-') as bot_id, min(p_type) as op, min(p_name) as p from part group by all), "
     "u as (select bot_id, p, max(k) as k from s group by all) "

@@ -11,7 +11,7 @@ from hitscope.functions import ip, request
 from hitscope.functions.agents import classify
 from hitscope.operators import ranges
 from hitscope.operators.enrich import COLUMNS, RAW, Dimensions, enrich
-from hitscope.plans import display, panels
+from hitscope.plans import alerts, display, panels
 from hitscope.sources import logs, registry_documents, sinks
 
 NOW = dt.datetime(2024, 3, 1, 12)
@@ -171,6 +171,30 @@ def test_registry_documents(spark, tmp_path):
         registry_documents.document(spark, f"{tmp_path}/missing.json")
 
 
+def test_alert_round(spark, events):
+    """A subject is told once within the cooldown, one refused delivery is tried again, a broken site leaves others alone."""
+    from hitscope.operators import rollups
+
+    p = panels.Panels(events, NOW, {n: rollups.build(events, n) for n in rollups.KEYS})
+    asked, answer = [], [False, True]
+
+    def deliver(event):
+        asked.append((event["rule"], event["site"], event["subject"]))
+        return answer[min(len(asked), 2) - 1]
+
+    r = alerts.Round(deliver, rules=["spoof", "nonsense", "spike"], factor=0.0, minutes=60)
+    busy = events.unionByName(events.withColumn("ts", F.col("ts") - F.expr("interval 3 hours")))
+    sites = {"bad": None, "a": panels.Panels(busy, NOW, p.rollups)}
+    assert r.tick(sites, NOW) == [] and asked == [("spike", "a", "ai")]
+    assert [e["subject"] for e in r.tick(sites, NOW)] == ["ai"]
+    assert r.tick(sites, NOW + dt.timedelta(hours=1)) == [] and len(asked) == 2
+    assert any(f.startswith("nonsense|a") for f in r.failures) and any("|bad" in f for f in r.failures)
+    r.running = True
+    assert r.tick(sites, NOW + dt.timedelta(days=1)) == []
+    old = {"x": (NOW - dt.timedelta(hours=7)).isoformat(), "y": NOW.isoformat(), "z": "?"}
+    assert alerts.prune(old, NOW, dt.timedelta(hours=6)) == {"y": NOW.isoformat()}
+
+
 def test_no_visitor_address_stays(events):
     people = events.filter("actor_type = 'human'").collect()
     assert people and all(r["bot_ip"] == "" and r["query"] == "" for r in people)
