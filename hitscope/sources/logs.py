@@ -27,12 +27,26 @@ def _unescaped(x: Column) -> Column:
     return F.regexp_replace(x, r'\\(["\\])', "$1")
 
 
-def _common(line: Column, tail: str, optional: bool, plain_ident: bool) -> list[Column]:
-    pattern = (_LINE if not plain_ident else _LINE.replace(r"(\S+) (\S+) (\S+) \[", r"(\S+) (-) (\S+) \[", 1)) + (f"(?:{tail})?" if optional else tail) + r"\s*$"
-    part = lambda k: F.when(line.rlike(pattern), F.regexp_extract(line, pattern, k))
-    request = _unescaped(part(5))
-    shape = r"^(\S+) (\S+) HTTP/\d(?:\.\d)?$"
-    of = lambda k: F.when(request.rlike(shape), F.regexp_extract(request, shape, k))
+#: Between the groups of a match, where a pattern is matched once for all of them; a line with it in is refused.
+_MARK = "\x1e\x1f"
+
+
+def _groups(x: Column, pattern: str, count: int) -> Column:
+    """array<string> of a whole match's groups, or null."""
+    found = F.split(F.regexp_replace(x, pattern, _MARK.join(f"${k}" for k in range(1, count + 1))), _MARK)
+    return F.when(~F.contains(x, F.lit(_MARK)), F.when(F.size(found) == count, found))
+
+
+def _clf(tail: str) -> Callable[[Column], list[tuple[str, Column]]]:
+    """Columns that the fields of such a line are taken from, each made from those before."""
+    pattern = _LINE + tail + r"\s*$"
+    request = r"^(\S+) (\S+) HTTP/\d(?:\.\d)?$"
+    return lambda line: [("_parts", _groups(line, pattern, 9)), ("_request", _groups(_unescaped(F.get("_parts", F.lit(4))), request, 2))]
+
+
+def _common(line: Column) -> list[Column]:
+    part = lambda k: F.get("_parts", F.lit(k - 1))
+    of = lambda k: F.get("_request", F.lit(k - 1))
     return [
         n.clf_time(part(4)).alias("ts"), part(1).alias("ip"), n.method(of(1)).alias("method"), n.path(of(2)).alias("path"), n.status(part(6)).alias("status"),
         n.size(part(7)).alias("bytes"), n.text(_unescaped(part(9))).alias("ua"), n.text(_unescaped(part(8))).alias("referer"), F.lit(None).cast("double").alias("response_ms"),
@@ -41,11 +55,13 @@ def _common(line: Column, tail: str, optional: bool, plain_ident: bool) -> list[
 
 def apache(line: Column) -> list[Column]:
     """Common or combined format."""
-    return _common(line, rf" {_QUOTED} {_QUOTED}", True, False)
+    return _common(line)
 
 
 def nginx_combined(line: Column) -> list[Column]:
-    return _common(line, rf" {_QUOTED} {_QUOTED}", False, True)
+    """Combined format, without an identity."""
+    own = _common(line)
+    return [F.when(F.get("_parts", F.lit(1)) == "-", own[0]).alias("ts"), *own[1:]]
 
 
 def _json(line: Column, *names: str) -> Column:
@@ -113,6 +129,9 @@ FORMATS: dict[str, Callable[[Column], list[Column]]] = {
     "apache": apache, "nginx-combined": nginx_combined, "nginx-json": nginx_json, "caddy-json": caddy_json, "cloudflare-ndjson": cloudflare_ndjson,
 }
 
+#: What is taken from a line once, before its fields.
+PREPARED: dict[str, Callable[[Column], list[tuple[str, Column]]]] = {"apache": _clf(rf"(?: {_QUOTED} {_QUOTED})?"), "nginx-combined": _clf(rf" {_QUOTED} {_QUOTED}")}
+
 
 def parse(lines: DataFrame, format: str, field_map: dict[str, str] | None = None) -> DataFrame:
     """`line` to line, the event's FIELDS and ok; blank lines are left out."""
@@ -124,7 +143,11 @@ def parse(lines: DataFrame, format: str, field_map: dict[str, str] | None = None
         fields = jsonl(line, field_map) if field_map else [F.lit(None).cast("string").alias(f) for f in FIELDS]
     else:
         fields = FORMATS[format](line)
-    got = bare.select("*", *fields)
+    kept = [F.col(f"`{c}`") for c in bare.columns]
+    for name, column in PREPARED.get(format, lambda _: [])(line):
+        bare = bare.withColumn(name, column)
+    # as rows of a generator, so that no condition on the fields is moved down into them, where it would repeat them
+    got = bare.select(*kept, F.inline(F.array(F.struct(*fields))))
     address = F.trim(F.coalesce(F.col("ip").cast("string"), F.lit("")))
     got = got.withColumn("ip", F.when(~address.isin("", "-"), address))
     ok = F.lit(True)
