@@ -47,17 +47,18 @@ def numbered(df: DataFrame, key: str, unit: Column, order: list[Column], out: st
     """
     from pyspark.sql import Window as W
 
-    named = df.withColumn("_unit", unit)
-    inside = W.partitionBy(key, "_unit").orderBy(*order)
-    ahead = W.partitionBy(key).orderBy("_unit").rowsBetween(W.unboundedPreceding, -1)
+    of, at, n, first_of = (unused(c, df.columns) for c in ("_unit", "_at", "_n", "_first"))
+    named = df.withColumn(of, unit)
+    inside = W.partitionBy(key, of).orderBy(*order)
+    ahead = W.partitionBy(key).orderBy(of).rowsBetween(W.unboundedPreceding, -1)
     first = (
-        named.groupBy(key, "_unit").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_first", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
-        .drop("_n")
+        named.groupBy(key, of).agg(F.count(F.lit(1)).alias(n))
+        .withColumn(first_of, F.coalesce(F.sum(n).over(ahead), F.lit(0)))
+        .drop(n)
     )
     return (
-        named.withColumn("_at", F.row_number().over(inside) - 1)
-        .join(first, [key, "_unit"])
-        .withColumn(out, (F.col("_first") + F.col("_at")).cast("long"))
-        .drop("_unit", "_at", "_first")
+        named.withColumn(at, F.row_number().over(inside) - 1)
+        .join(first, [key, of])
+        .withColumn(out, (F.col(first_of) + F.col(at)).cast("long"))
+        .drop(of, at, first_of)
     )

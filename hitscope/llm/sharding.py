@@ -6,7 +6,7 @@ order), which leaves one partial partition, `shards` sums, per bucket. Those few
 and each bucket's parts are renamed accordingly. No task sees more than its bucket of groups.
 
 Defined cases: a null text counts as empty (and is grouped with empty texts); repeated rows are placed together;
-extra columns are kept unless they bear an output's name; an empty table gives no rows.
+the text is dropped, extra columns are kept unless they bear an output's name; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitscope.llm.common import documents, materialize, numbered
+from hitscope.llm.common import documents, materialize, numbered, unused
 
 OVERHEAD = 8
 BUCKETS, GROUPS_A_BUCKET = 256, 200_000
@@ -83,14 +83,15 @@ def _bucket(shards: int):
 def shard_by_bytes(docs: DataFrame, shards: int = 24, text: str = "text") -> DataFrame:
     """Adds size, text_crc32, shard and slot (gapless from 0 within a shard) to docs."""
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    key = unused("_group", docs.columns)
     sized = (
-        docs.drop("size", "text_crc32", "shard", "slot", "bucket", "group")
+        docs.drop("size", "text_crc32", "shard", "slot")
         .withColumn("size", (F.octet_length(raw) + OVERHEAD).cast("long"))
         .withColumn("text_crc32", F.crc32(raw))
-        .withColumn("group", F.unhex(F.md5(raw)))
+        .withColumn(key, F.unhex(F.md5(raw)))
         .drop(text)
     )
-    groups = sized.groupBy("group").agg(F.sum("size").alias("group_bytes"))
+    groups = sized.groupBy(F.col(key).alias("group")).agg(F.sum("size").alias("group_bytes"))
     groups = materialize(groups, "shard-groups")
     n_groups = groups.count()
     buckets = max(BUCKETS, n_groups // GROUPS_A_BUCKET)
@@ -111,8 +112,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, text: str = "text") -> Dat
     renamed = spark.createDataFrame(
         [(int(b), int(p), int(places[i][p])) for b, i in row_of.items() for p in range(shards)], "bucket int, part int, shard int"
     )
-    placed = local.join(F.broadcast(renamed), ["bucket", "part"]).select("group", "shard")
-    out = sized.join(placed, "group").drop("group")
+    placed = local.join(F.broadcast(renamed), ["bucket", "part"]).select(F.col("group").alias(key), "shard")
+    out = sized.join(placed, key).drop(key)
     n_units = max(UNITS, n_groups // ROWS_A_UNIT)
     unit = F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(n_units)).cast("int")
     return numbered(out, "shard", unit, [F.col("doc_id"), F.col("text_crc32"), F.col("size")], "slot")

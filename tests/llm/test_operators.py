@@ -89,6 +89,9 @@ def test_sharding(spark, docs, rows):
         assert slots == list(range(len(slots)))
     assert sum(totals.values()) == sum(len((t or "").encode()) + 8 for _, t in rows)
     assert sharding.shard_by_bytes(empty(spark)).count() == 0
+    clash = docs.select("doc_id", "text", *[F.lit(c).alias(c) for c in ("group", "bucket", "_group", "_unit", "_at", "_n", "_first")])
+    kept = sharding.shard_by_bytes(clash, shards=6)
+    assert kept.count() == kept.filter("`group` = 'group' and bucket = 'bucket' and _group = '_group' and _unit = '_unit' and _at = '_at' and _n = '_n' and _first = '_first'").count() == len(rows)
 
 
 def test_differencing_beats_dealing():
