@@ -13,7 +13,7 @@ from hitscope.functions import request
 from hitscope.functions.agents import classify
 from hitscope.functions.ip import ip_key
 from hitscope.operators import ranges
-from hitscope.operators.sessions import with_id_of_start, with_session_id
+from hitscope.operators.sessions import with_id_of_start, with_session_start
 
 RAW = "site_id string, ts timestamp_ntz, ip string, method string, path string, status int, bytes bigint, ua string, referer string, response_ms double, country string, asn bigint, as_org string"
 
@@ -108,7 +108,11 @@ def enrich(raw: DataFrame, dims: Dimensions, secret: str, source: str = "api") -
     state) gives the sessions' starts; without it they are found among these events.
     """
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    one = raw.withColumn("_ua", text("ua")).join(agents(raw, dims.bots), "_ua", "left").join(addresses(raw, dims), "ip", "left")
+    one = raw.withColumn("_ua", text("ua")).withColumn("ip_hash", request.visitor_hash(F.col("ip"), F.col("ts"), secret))
+    if "session_start" not in raw.columns:
+        # first, so that the work on the columns comes after this shuffle and has its partitions
+        one = with_session_start(one, ["site_id", "ip_hash", "_ua"])
+    one = one.join(agents(raw, dims.bots), "_ua", "left").join(addresses(raw, dims), "ip", "left")
     published = [r[0] for r in dims.ranges.select("bot_id").distinct().collect()] if dims.ranges is not None else []  # at most the registry's bots
     if dims.rdns is not None:
         one = one.join(dims.rdns.select("ip", "bot_id", F.col("outcome").alias("_dns")), ["ip", "bot_id"], "left")
@@ -118,9 +122,8 @@ def enrich(raw: DataFrame, dims: Dimensions, secret: str, source: str = "api") -
     one = one.join(scripts, "referer", "left")
     is_bot = F.col("actor_type") != "human"
     in_range, has_ranges = F.coalesce(F.array_contains("_in", F.col("bot_id")), F.lit(False)), F.col("bot_id").isin(published) if published else F.lit(False)
-    starts = ["session_start"] if "session_start" in raw.columns else []
     wide = one.select(
-        "site_id", "ts", request.visitor_hash(F.col("ip"), F.col("ts"), secret).alias("ip_hash"), F.when(is_bot, F.col("ip")).otherwise("").alias("bot_ip"),
+        "site_id", "ts", "ip_hash", "session_start", F.when(is_bot, F.col("ip")).otherwise("").alias("bot_ip"),
         F.upper("method").alias("method"), request.pathname(F.col("path")).alias("path"), request.path_group(request.pathname(F.col("path"))).alias("path_group"),
         F.lit("").alias("query"), F.col("status").cast("int").alias("status"), F.coalesce(F.col("bytes"), F.lit(0)).cast("bigint").alias("bytes"),
         F.floor(F.coalesce(F.col("response_ms"), F.lit(0.0)) + 0.5).cast("bigint").alias("response_ms"), F.col("_ua").alias("ua"), "actor_type", "bot_id", "operator",
@@ -130,6 +133,6 @@ def enrich(raw: DataFrame, dims: Dimensions, secret: str, source: str = "api") -
         F.lit("").alias("topic_id"), F.lit(source).alias("ingest_source"),
         F.when(text("country") != "", F.col("country")).otherwise(text("_country")).alias("country"),
         F.when(F.coalesce("asn", F.lit(0)) != 0, F.col("asn")).otherwise(F.coalesce("_asn", F.lit(0))).cast("bigint").alias("asn"),
-        F.when(text("as_org") != "", F.col("as_org")).otherwise(text("_org")).alias("as_org"), *starts,
+        F.when(text("as_org") != "", F.col("as_org")).otherwise(text("_org")).alias("as_org"),
     )
-    return (with_id_of_start(wide) if starts else with_session_id(wide)).select(*COLUMNS)
+    return with_id_of_start(wide).select(*COLUMNS)
