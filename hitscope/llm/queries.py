@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hitscope.llm import bpe, chat, langid, orderminhash, packing, pages, quality, sharding, simhash, substrings
+from hitscope.llm import bpe, chat, langid, orderminhash, packing, pages, quality, sharding, simhash, spelling, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": chat.op8,
     "op9_quality_rules": quality.op9,
     "op10_simhash": simhash.op10,
+    "op11_spelling_variants": spelling.op11,
 }
 
 SQL: dict[str, str] = {
