@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hitscope.llm import bpe, chat, langid, orderminhash, packing, pages, quality, repair, sharding, simhash, spelling, substrings
+from hitscope.llm import bpe, chat, langid, orderminhash, packing, pages, privacy, quality, repair, sharding, simhash, spelling, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": quality.op9,
     "op10_simhash": simhash.op10,
     "op11_spelling_variants": spelling.op11,
+    "op12_pii": privacy.op12,
     "op13_conversation_repair": repair.op13,
 }
 
