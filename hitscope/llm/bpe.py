@@ -20,13 +20,13 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from hitscope.llm.common import documents
+from hitscope.llm.common import beside, documents
 
 #: Bytes of each of a worker's two tables, the longest piece they keep, and characters taken together as one chunk of the corpus.
 TABLE_BYTES, LONGEST_KEPT, CHUNK_CHARS = 48_000_000, 64, 1_000_000
@@ -241,54 +241,39 @@ def default_pattern() -> str:
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds the ids of `text` as array<int>."""
-    from pyspark.sql import types as T
 
-    kept = df.drop(ids)
-    schema = T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(texts: list[str | None]) -> tuple[list[np.ndarray]]:
         c = codec(path, pattern)
-        for pdf in batches:
-            texts = pdf[text].fillna("").tolist()
-            pdf[ids] = [x.astype(np.int32) for part in chunks(texts) for x in c.encode(part)]
-            yield pdf
+        return ([x.astype(np.int32) for part in chunks([t or "" for t in texts]) for x in c.encode(part)],)
 
-    return kept.mapInPandas(run, schema)
+    return beside(df, [text], [(ids, T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))], work)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds the bytes of `ids` (null: none) as binary."""
-    from pyspark.sql import types as T
-
-    kept = df.drop(out)
-    schema = T.StructType([*kept.schema.fields, T.StructField(out, T.BinaryType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(held: list[list[int] | None]) -> tuple[list[bytes]]:
         c = codec(path, pattern)
-        for pdf in batches:
-            pdf[out] = [b"" if x is None else c.decode(list(x)) for x in pdf[ids]]
-            yield pdf
+        return ([b"" if x is None else c.decode(x) for x in held],)
 
-    return kept.mapInPandas(run, schema)
+    return beside(df, [ids], [(out, T.BinaryType(), pa.binary())], work)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer_file("byte_bpe_50k.tiktoken"), default_pattern()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(texts: list[str | None]) -> tuple[list[int], list[str], list[str]]:
         c = codec(path, pattern)
         decimal = c.decimal
-        for pdf in batches:
-            rows = []
-            texts = pdf["text"].fillna("").tolist()
-            for part in chunks(texts):
-                for ids in c.encode(part):
-                    plain = ids.tolist()
-                    written = b" ".join([decimal[i] for i in plain])
-                    rows.append((len(plain), hashlib.sha256(written).hexdigest(), hashlib.sha256(c.decode(plain)).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
-            yield out
-
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    return docs.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        sizes, written, decoded = [], [], []
+        for part in chunks([t or "" for t in texts]):
+            for ids in c.encode(part):
+                plain = ids.tolist()
+                sizes.append(len(plain))
+                written.append(hashlib.sha256(b" ".join([decimal[i] for i in plain])).hexdigest())
+                decoded.append(hashlib.sha256(c.decode(plain)).hexdigest())
+        return sizes, written, decoded
+
+    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    hexes = (T.StringType(), pa.string())
+    return beside(docs, ["text"], [("n_tokens", T.LongType(), pa.int64()), ("ids_sha256", *hexes), ("decoded_sha256", *hexes)], work, dropped=("text",))

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hitscope.storage import shared_dir
 
@@ -25,6 +29,23 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def beside(df: DataFrame, sources: list[str], made: list[tuple[str, T.DataType, pa.DataType]], work: Callable[..., Sequence[Any]], dropped: tuple[str, ...] = ()) -> DataFrame:
+    """df with columns made of others, in Arrow batches. work gets a list of values for each source and gives a sequence of
+    values for each column in made. All other columns go through as they are: no key is ever a float, no time is cut short."""
+    names = {n for n, _, _ in made}
+    own = [f for f in df.schema.fields if f.name not in names and f.name not in dropped]
+    kept = [f.name for f in own]
+    sent = df.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"`{c}`").alias(f"source {i}") for i, c in enumerate(sources)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = work(*[batch.column(len(kept) + i).to_pylist() for i in range(len(sources))])
+            columns = [batch.column(i) for i in range(len(kept))] + [pa.array(x, t) for x, (_, _, t) in zip(got, made, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, [*kept, *[n for n, _, _ in made]])
+
+    return sent.mapInArrow(run, T.StructType([*own, *[T.StructField(n, t) for n, t, _ in made]]))
+
+
 def unused(name: str, taken: list[str]) -> str:
     """name, with underscores before it until no column has it (Spark's names differ by more than case)."""
     held = {c.lower() for c in taken}

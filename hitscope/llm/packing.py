@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -182,8 +182,14 @@ def tokens(path: str) -> Tokens:
     return Tokens(path)
 
 
+_CUT = pa.schema([
+    ("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("full_crcs", pa.list_(pa.int64())), ("tail", pa.binary()), ("r", pa.int32()), ("part", pa.int32()), ("rank", pa.int64()), ("full_rank", pa.int64()),
+])
+_PIECE = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
+
+
 def _cut(path: str, window: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         t, part = tokens(path), TaskContext.get().partitionId()
@@ -191,10 +197,10 @@ def _cut(path: str, window: int):
         closing = CLOSING.to_bytes(4, "little")
         step = 4 * window
         fulls = 0
-        for pdf in batches:
+        for batch in batches:
             at = 0
-            texts = pdf["text"].fillna("").tolist()
-            keys = pdf["doc_id"]
+            texts = [x or "" for x in batch.column("text").to_pylist()]
+            keys = batch.column("doc_id")
             for some in chunks(texts):
                 rows = []
                 for ids in t.ids(some):
@@ -206,10 +212,9 @@ def _cut(path: str, window: int):
                     rows.append((len(ids) // 4, crcs, tail.astype("<u2" if not r or tail.max() < 65536 else "<u4").tobytes(), r, part, seen[r], fulls))
                     seen[r] += 1
                     fulls += n
-                out = pd.DataFrame(rows, columns=["doc_tokens", "full_crcs", "tail", "r", "part", "rank", "full_rank"])
-                out.insert(0, "doc_id", keys.iloc[at : at + len(some)].to_numpy())
+                columns = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), _CUT.types[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([keys.slice(at, len(some)), *columns], schema=_CUT)
                 at += len(some)
-                yield out
 
     return run
 
@@ -219,10 +224,10 @@ def _place(rows: list[tuple[int, int, int, int, int, int, int]], bins: int, wind
     for cls, *rest in sorted(rows):
         by_class[cls].append(tuple(rest))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for doc, n, crcs, tail, r, rank, full in zip(pdf["doc_id"], pdf["doc_tokens"], pdf["full_crcs"], pdf["tail"], pdf["r"], pdf["rank"], pdf["full_rank"], strict=True):
+            for doc, n, crcs, tail, r, rank, full in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "doc_tokens", "full_crcs", "tail", "r", "rank", "full_rank")], strict=True):
                 for i, crc in enumerate(crcs):
                     out.append((doc, i * window, window, crc, n, bins + full + i, 0))
                 if r:
@@ -231,8 +236,7 @@ def _place(rows: list[tuple[int, int, int, int, int, int, int]], bins: int, wind
                     for off, lo, hi, length, first, at in by_class[r]:
                         if lo <= rank < hi:
                             out.append((doc, base + off, length, zlib.crc32(ids[off : off + length].tobytes()), n, first + rank - lo, at))
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-            yield pd.DataFrame(out, columns=names).astype({c: "int64" for c in names[1:]})
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [()] * len(_PIECE))], schema=_PIECE)
 
     return run
 
@@ -240,7 +244,7 @@ def _place(rows: list[tuple[int, int, int, int, int, int, int]], bins: int, wind
 def pack(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     """(doc_id, text) to pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     cut = materialize(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
             _cut(path, window),
             "doc_id long, doc_tokens long, full_crcs array<long>, tail binary, r int, part int, rank long, full_rank long",
         ),
@@ -261,7 +265,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
         "doc_id", "doc_tokens", "full_crcs", "tail", "r",
         (F.col("rank") + F.col("first")).cast("long").alias("rank"), (F.col("full_rank") + F.col("first_full")).cast("long").alias("full_rank"),
     )
-    return ranked.mapInPandas(_place(rows, bins, window), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return ranked.mapInArrow(_place(rows, bins, window), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,16 +16,17 @@ import html
 import random
 import re
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hitscope.llm.common import beside
+
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 #: What stands between attributes, and an attribute with its value. Each match is decided by its next character alone.
 BETWEEN, NAME, VALUE = re.compile(r"[\s/]*"), re.compile(r"=?[^\s/>=]*"), re.compile(r"\s*=\s*")
@@ -517,18 +518,7 @@ def extract(pages: list[str | None], model: Boosted) -> list[str]:
 def extract_text(df: DataFrame, page: str = "html", out: str = "text") -> DataFrame:
     """Adds the main text of each page."""
     sent = df.sparkSession.sparkContext.broadcast(trained())
-    kept = df.drop(out)
-    names = [c for c in kept.columns if c != page]
-    schema = T.StructType([*(f for f in kept.schema.fields if f.name != page), T.StructField(out, T.StringType())])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = extract(pdf[page].tolist(), sent.value)
-            pdf = pdf[names].copy()
-            pdf[out] = got
-            yield pdf
-
-    return kept.mapInPandas(run, schema)
+    return beside(df, [page], [(out, T.StringType(), pa.string())], lambda pages: (extract(pages, sent.value),), dropped=(page,))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

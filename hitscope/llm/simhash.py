@@ -14,15 +14,15 @@ smallest unless the component has no other; extra columns are dropped by `finger
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from hitscope.llm.common import documents, materialize
+from hitscope.llm.common import beside, documents, materialize
 from hitscope.llm.graph import connected_components
 from hitscope.llm.nearcopies import one_each, row_hashes
 
@@ -49,12 +49,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, text) to (doc_id, fp)."""
+    return _with_fingerprint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": np.array([fingerprint(t, shingle) for t in pdf["text"]], np.int64)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long")
+def _with_fingerprint(rows: DataFrame, shingle: int) -> DataFrame:
+    """fp in place of text."""
+    return beside(rows, ["text"], [("fp", T.LongType(), pa.int64())], lambda texts: ([fingerprint(t, shingle) for t in texts],), dropped=("text",))
 
 
 def _links(radius: int):
@@ -127,14 +127,8 @@ def components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) ->
 
 def near_dedup(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One document of each component, with its own columns: that of the smallest doc_id, nulls last."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf["fp"] = np.array([fingerprint(t, shingle) for t in pdf["text"]], np.int64)
-            yield pdf.drop(columns="text")
-
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_hashes(docs), "text")
-    marked = materialize(rows.mapInPandas(run, "doc_id long, _r long, _q long, fp long"), "simhash")
+    marked = materialize(_with_fingerprint(rows, shingle), "simhash")
     roots = connected_components(link(marked.select("fp").distinct(), radius)).withColumnRenamed("node", "fp")
     return one_each(docs, marked.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
 

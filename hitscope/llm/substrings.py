@@ -29,10 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from hitscope.llm.common import documents, materialize, unused
+from hitscope.llm.common import beside, documents, materialize, unused
 
 WINDOW, PREFIX, LARGE = 35, 8, 1000
 PLACES = WINDOW - PREFIX + 1  # of an anchor within its window
@@ -338,8 +340,6 @@ def _kept(text: str | None, marks) -> tuple[int, int, str]:
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """docs with kept_text, n_words and n_removed added; own columns of these names are replaced, others stay as they are."""
-    from pyspark.sql import types as T
-
     added = ("kept_text", "n_words", "n_removed")
     own = [c for c in docs.columns if c not in added]
     key, th, marks_of = (unused(c, own) for c in ("_id", "_th", "_marks"))
@@ -347,17 +347,13 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     found = materialize(repeats(keyed.select(F.col(key).alias("doc_id"), "text", F.col(th).alias("th"))), "repeats")
     marks = found.groupBy(F.col("doc_id").alias(key), F.col("th").alias(th)).agg(F.collect_set(F.struct("pos", "mask")).alias(marks_of))
     joined = keyed.join(marks, [key, th], "left").drop(key, th)
-    fields = [f for f in joined.schema.fields if f.name != marks_of]
-    schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
+    count = (T.LongType(), pa.int64())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = [_kept(t, m) for t, m in zip(pdf["text"], pdf[marks_of], strict=True)]
-            pdf = pdf.drop(columns=marks_of)
-            pdf["n_words"], pdf["n_removed"], pdf["kept_text"] = [g[0] for g in got], [g[1] for g in got], [g[2] for g in got]
-            yield pdf
+    def work(texts: list[str | None], marks: list[list[dict[str, int]] | None]) -> list[list[int] | list[str]]:
+        got = [_kept(t, m) for t, m in zip(texts, marks, strict=True)]
+        return [[g[i] for g in got] for i in range(3)]
 
-    return joined.mapInPandas(run, schema)
+    return beside(joined, ["text", marks_of], [("n_words", *count), ("n_removed", *count), ("kept_text", T.StringType(), pa.string())], work, dropped=(marks_of,))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
