@@ -7,9 +7,8 @@ PMI(c; t) / IC(c) = log2(p(c, t) / (p(c) p(t))) / -log2 p(c), which is 1 if ever
 that stand beside c in at least LEAST_WINDOWS different windows (so that copies of one text prove nothing) and disclose
 it by GENERALISED or more are replaced by what kind of term they are, by REMOVED or more taken out, wherever they stand.
 
-Counts are aggregated before each shuffle; no pairs of documents or of terms are formed beyond the windows. A term is
-counted over all documents if it stands in some entity's windows. Terms to look up are broadcast if there are
-BROADCAST_TERMS at most, and else joined by a salted shuffle.
+Counts are aggregated before each shuffle; no pairs of documents or of terms are formed beyond the windows. Revealing
+terms are looked up in the texts by a broadcast if there are BROADCAST_TERMS at most, and else by a salted shuffle.
 
 Places are counted in code points. Patterns are written so that no text takes more than time in proportion to its
 length: a match begins where a run of its characters begins, or where the match before it ended.
@@ -173,7 +172,8 @@ def disclosures(texts: DataFrame, least_windows: int = LEAST_WINDOWS) -> DataFra
     entities = pairs.filter("term = ''").select("entity", F.col("n_both").alias("n_entity"))
     beside = pairs.filter("term != ''")
     terms = materialize(beside.select("term").distinct(), "privacy-terms")
-    n_term = _held(texts.select(F.explode(_bare_terms(F.col("text"))).alias("term")), terms).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    # counted whole and then joined, so that the join has no more rows than terms
+    n_term = texts.select(F.explode(_bare_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(terms, "term", "left_semi")
     content = F.log2(F.lit(float(total)) / F.col("n_entity"))
     shared = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term")))
     return beside.join(entities, "entity").join(n_term, "term").select(
