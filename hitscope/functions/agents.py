@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hitscope.functions.ip import let
@@ -26,57 +26,65 @@ GENERIC_SIGNS = [
 DEVICES = "(?i)cubot"
 
 
-def _result(actor: str, bot_id: str = "", operator: str = "") -> Column:
-    return F.struct(F.lit(actor).alias("actor_type"), F.lit(bot_id).alias("bot_id"), F.lit("" if operator == "unknown" else operator).alias("operator"))
+Result = tuple[str, str, str]
 
 
-def _of(entry: dict[str, Any]) -> Column:
-    return _result(entry["actor_type"], entry["bot_id"], entry["operator"])
+def _result(r: Result) -> Column:
+    return F.struct(F.lit(r[0]).alias("actor_type"), F.lit(r[1]).alias("bot_id"), F.lit(r[2]).alias("operator"))
 
 
-def _literal(tokens: list[str]) -> str:
-    return "|".join(r"\Q" + t.replace(r"\E", r"\E\\E\Q") + r"\E" for t in tokens)
+def _of(entry: dict[str, Any]) -> Result:
+    return entry["actor_type"], entry["bot_id"], "" if entry["operator"] == "unknown" else entry["operator"]
 
 
-def _lookup(ua: Column, owners: dict[str, Column]) -> Column:
-    """The result of the leftmost, longest token in ua; null if there is none."""
-    if not owners:
-        return F.lit(None).cast("struct<actor_type:string,bot_id:string,operator:string>")
-    longest = sorted(owners, key=lambda t: (-len(t), t))
-    found = F.lower(F.regexp_extract(ua, f"(?i)({_literal(longest)})", 1))
-    table = F.create_map(*[x for t in owners for x in (F.lit(t), owners[t])])
-    return let(found, lambda f: F.when(f != "", F.try_element_at(table, f)))
-
-
-def classify(ua: Column, bots: list[dict[str, Any]]) -> Column:
-    """struct<actor_type, bot_id, operator>; unknown is ''."""
-    strong: dict[str, Column] = {}
-    weak: dict[str, Column] = {}
-    patterns: list[tuple[bool, str, Column]] = []
+def stages(bots: list[dict[str, Any]]) -> tuple[dict[str, Result], list[tuple[str, Result]], dict[str, Result]]:
+    """Strong tokens, patterns in their order, weak tokens, each with what it stands for. The first entry with a token has it."""
+    strong: dict[str, Result] = {}
+    weak: dict[str, Result] = {}
+    patterns: list[tuple[bool, str, Result]] = []
     for e in bots:
         for p in e["ua_patterns"]:
             plain = p.replace("\\/", "/")
             if META.search(plain):
                 try:
-                    re.compile(p)
+                    groups = re.compile(p).groups
                 except re.error:  # a pattern of another dialect is passed over
                     continue
-                patterns.append((re.compile(p).groups > 0, p, _of(e)))
+                patterns.append((groups > 0, p, _of(e)))
             elif len(plain) < 4 or plain.lower() in GENERIC_IDENTITIES:
                 degraded = has_generic_identity(e) and e["actor_type"].startswith("ai_")
-                weak.setdefault(plain.lower(), _result("other_bot") if degraded else _of(e))
+                weak.setdefault(plain.lower(), ("other_bot", "", "") if degraded else _of(e))
             else:
                 strong.setdefault(plain.lower(), _of(e))
-    patterns.sort(key=lambda x: x[0])
+    return strong, [(p, r) for _, p, r in sorted(patterns, key=lambda x: x[0])], weak
+
+
+def _java(pattern: str) -> str:
+    """The pattern with word boundaries between ASCII word characters and all others, as in the dialect that registries are written in."""
+    return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
+
+
+def _literal(tokens: list[str]) -> str:
+    return "|".join(r"\Q" + t.replace(r"\E", r"\E\\E\Q") + r"\E" for t in tokens)
+
+
+def _lookup(ua: Column, owners: dict[str, Result]) -> Column:
+    """The result of the leftmost, longest token in ua; null if there is none."""
+    if not owners:
+        return F.lit(None).cast("struct<actor_type:string,bot_id:string,operator:string>")
+    longest = sorted(owners, key=lambda t: (-len(t), t))
+    found = F.lower(F.regexp_extract(ua, f"(?i)({_literal(longest)})", 1))
+    table = F.create_map(*[x for t in owners for x in (F.lit(t), _result(owners[t]))])
+    return let(found, lambda f: F.when(f != "", F.try_element_at(table, f)))
+
+
+def classify(ua: Column, bots: list[dict[str, Any]]) -> Column:
+    """struct<actor_type, bot_id, operator>; unknown is ''. For registries of some dozens of entries; `agent_index` has the same for long ones."""
+    strong, patterns, weak = stages(bots)
+    other, human = _result(("other_bot", "", "")), _result(("human", "", ""))
     blank = F.trim(F.coalesce(ua, F.lit(""))).isin("", "-")
     return F.coalesce(
-        F.when(blank, _result("other_bot")), _lookup(ua, strong), *[F.when(ua.rlike(p), result) for _, p, result in patterns],
-        F.when(ua.rlike(DEVICES), _result("human")), _lookup(ua, weak),
-        F.when(ua.rlike("(?i)" + "|".join(GENERIC_SIGNS)), _result("other_bot")), _result("human"),
+        F.when(blank, other), _lookup(ua, strong), *[F.when(ua.rlike(_java(p)), _result(result)) for p, result in patterns],
+        F.when(ua.rlike(DEVICES), human), _lookup(ua, weak),
+        F.when(ua.rlike("(?i)" + "|".join(map(_java, GENERIC_SIGNS))), other), human,
     )
-
-
-def classify_distinct(df: DataFrame, bots: list[dict[str, Any]], ua: str = "ua", out: str = "agent") -> DataFrame:
-    """Adds the classification of each row's agent; each distinct agent is classified once, which pays with long registries."""
-    each = df.select(ua).distinct().withColumn(out, classify(F.col(ua), bots))
-    return df.join(each.withColumnRenamed(ua, "_ua"), F.col(ua).eqNullSafe(F.col("_ua")), "left").drop("_ua")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hitscope import registry
 from hitscope.functions import request
-from hitscope.functions.agents import classify
+from hitscope.functions.agent_index import classified
 from hitscope.functions.ip import ip_key
 from hitscope.operators import ranges
 from hitscope.operators.sessions import with_id_of_start, with_session_start
@@ -80,7 +80,7 @@ def verification(bot_id: Column, key: Column, in_range: Column, has_ranges: Colu
 
 def agents(raw: DataFrame, bots: list[dict[str, Any]]) -> DataFrame:
     """(_ua, actor_type, bot_id, operator) for each distinct agent of raw events, null as ''."""
-    return raw.select(F.coalesce("ua", F.lit("")).alias("_ua")).distinct().withColumn("_agent", classify(F.col("_ua"), bots)).select("_ua", "_agent.*")
+    return classified(raw.select(F.coalesce("ua", F.lit("")).alias("_ua")).distinct(), bots, "_ua")
 
 
 def addresses(raw: DataFrame, dims: Dimensions) -> DataFrame:

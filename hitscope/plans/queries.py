@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitscope import registry, textgen
 from hitscope.functions import ip, request
+from hitscope.functions.agent_index import classified
 from hitscope.functions.agents import classify
 from hitscope.operators import ranges, rollups, sessions
 from hitscope.plans import alerts, derived, explore, panels
@@ -239,6 +241,31 @@ def _hourly_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select("t", *[F.col(k) if k in wide.columns else F.lit(None).cast("bigint").alias(k) for k in _KINDS])
 
 
+def long_registry(parts: DataFrame) -> list[dict[str, Any]]:
+    """A registry of a token for each brand and size of parts and a pattern for each brand: at most some 1,300 entries, whatever the number of parts."""
+    entry = lambda bot, kind, owner, pattern: {"bot_id": bot, "operator": owner, "actor_type": kind, "ua_patterns": [pattern]}
+    sizes = sorted(tuple(r) for r in parts.select(F.replace("p_brand", F.lit("#"), F.lit("")).alias("b"), "p_size").distinct().collect())
+    tokens = [entry(f"{b}-{n}".lower(), "ai_training" if n % 2 else "seo_tool", b.lower(), f"{b}-{n}") for b, n in sizes]
+    return tokens + [entry(f"{b}fetch".lower(), "ai_fetcher", "unknown", rf"^{b}Fetch\/[0-9]+") for b in sorted({b for b, _ in sizes})]
+
+
+def part_agents(parts: DataFrame) -> DataFrame:
+    """(p_partkey, ua): crawlers, fetchers, browsers and nameless bots."""
+    brand, key, size = F.replace("p_brand", F.lit("#"), F.lit("")), F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    ua = (
+        F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("Mozilla/5.0 (compatible; "), brand, F.lit("-"), size, F.lit("; v"), key, F.lit("; +http://x.example/"), brand, F.lit("-1)")))
+        .when(F.col("p_partkey") % 4 == 1, F.concat(brand, F.lit("Fetch/"), key, F.lit(" (compatible)")))
+        .when(F.col("p_partkey") % 4 == 2, F.concat(F.lit("Mozilla/5.0 (X11; Linux x86_64) AppleWebKit/537.36 Chrome/"), key, F.lit(".0 Safari/537.36")))
+        .otherwise(F.concat(F.lit("acme-"), F.lower("p_name"), F.lit("-crawler/"), key))
+    )
+    return parts.select("p_partkey", ua.alias("ua"))
+
+
+def _long_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return classified(part_agents(parts), long_registry(parts)).select("p_partkey", "ua", "actor_type", "bot_id", "operator")
+
+
 def _truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the panel of bots says that it shows all of them, by the number it may show."""
     p = derived.panels(spark, sf_dir)
@@ -292,6 +319,7 @@ QUERIES: dict[str, Query] = {
     "cidr_ends": _cidr_ends,
     "hourly_wide": _hourly_wide,
     "bots_truncated": _truncated,
+    "ua_class_registry": _long_registry,
     "ip_verify": lambda s, d: derived.stored(s, d).filter("bot_id != ''").groupBy("bot_id", "bot_ip", "verification").agg(F.count(F.lit(1)).alias("hits")),
     "merged_ranges": _merged_ranges,
     "sessions": lambda s, d: _plain(derived.stored(s, d).groupBy("session_id").agg(F.count(F.lit(1)).alias("hits"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))),
@@ -362,6 +390,16 @@ SQL["top_pages_search"] = SQL["top_pages"].replace("from w group by", "from w wh
 _WRITTEN = f"""with {_RAW} select date_trunc('second', ts)::timestamp as ts, ip, upper(method) as method, path, status, bytes, ua, referer, count(*) as n from raw group by all"""
 SQL |= {f"log_{f}": _WRITTEN for f in ("apache", "nginx_combined", "nginx_json", "caddy_json", "cloudflare_ndjson", "jsonl")}
 SQL["hourly_wide"] = _q("select date_trunc('hour', ts)::timestamp as t, " + ", ".join(f"nullif(count(*) filter (actor_type = '{k}'), 0) as {k}" for k in _KINDS) + f" from w where {_REAL} group by 1", _W1)
+SQL["ua_class_registry"] = """with p as (select p_partkey, replace(p_brand, '#', '') as b, p_size as n, lower(p_name) as name from part),
+  t as (select distinct lower(b || '-' || n) as token, lower(b) as owner, n from p),
+  a as (select p_partkey, case p_partkey % 4 when 0 then 'Mozilla/5.0 (compatible; ' || b || '-' || n || '; v' || p_partkey || '; +http://x.example/' || b || '-1)'
+    when 1 then b || 'Fetch/' || p_partkey || ' (compatible)' when 2 then 'Mozilla/5.0 (X11; Linux x86_64) AppleWebKit/537.36 Chrome/' || p_partkey || '.0 Safari/537.36'
+    else 'acme-' || name || '-crawler/' || p_partkey end as ua, b from p),
+  m as (select p_partkey, token, owner, n from a join t on contains(lower(ua), token) qualify row_number() over (partition by p_partkey order by strpos(lower(ua), token), length(token) desc) = 1)
+select a.p_partkey, ua, case when token is not null then case when n % 2 = 1 then 'ai_training' else 'seo_tool' end when regexp_matches(ua, '^Brand[0-9]+Fetch/[0-9]+') then 'ai_fetcher'
+    when contains(ua, 'crawl') then 'other_bot' else 'human' end as actor_type,
+  case when token is not null then token when regexp_matches(ua, '^Brand[0-9]+Fetch/[0-9]+') then lower(b) || 'fetch' else '' end as bot_id, coalesce(owner, '') as operator
+from a left join m using (p_partkey)"""
 SQL["bots_truncated"] = _q("select most::int as most, least(most, n)::bigint as shown, n > most as more from (select count(distinct bot_id) as n from w where bot_id <> ''), (values (3), (100)) t(most)", _W1)
 _V4 = "{0}0a00' || lpad(lower(to_hex({1})), 2, '0') || lpad(lower(to_hex({2})), 2, '0')"
 _V6 = "{0}20010db8' || lpad(lower(to_hex({1})), 4, '0') || repeat('0', 16) || lpad(lower(to_hex({2})), 4, '0')"
