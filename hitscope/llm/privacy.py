@@ -171,9 +171,8 @@ def disclosures(texts: DataFrame, least_windows: int = LEAST_WINDOWS) -> DataFra
     pairs = materialize(pairs.filter((F.col("term") == "") | (F.col("windows") >= least_windows)), "privacy-pairs")
     entities = pairs.filter("term = ''").select("entity", F.col("n_both").alias("n_entity"))
     beside = pairs.filter("term != ''")
-    terms = materialize(beside.select("term").distinct(), "privacy-terms")
-    # counted whole and then joined, so that the join has no more rows than terms
-    n_term = texts.select(F.explode(_bare_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(terms, "term", "left_semi")
+    # counted whole and then joined, so that the join has no more rows than pairs; a semi-join would be moved below the count
+    n_term = texts.select(F.explode(_bare_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     content = F.log2(F.lit(float(total)) / F.col("n_entity"))
     shared = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term")))
     return beside.join(entities, "entity").join(n_term, "term").select(
