@@ -12,7 +12,7 @@ from hitscope import registry
 from hitscope.functions import request
 from hitscope.functions.agent_index import classified
 from hitscope.functions.ip import ip_key
-from hitscope.operators import ranges
+from hitscope.operators import fcrdns, ranges
 from hitscope.operators.sessions import with_id_of_start, with_session_start
 
 RAW = "site_id string, ts timestamp_ntz, ip string, method string, path string, status int, bytes bigint, ua string, referer string, response_ms double, country string, asn bigint, as_org string"
@@ -55,12 +55,15 @@ def split_valid(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 @dataclass
 class Dimensions:
     """What enrichment looks up. ranges: (bot_id, first, last); networks: (first, last, asn, country, as_org);
-    rdns: (ip, bot_id, outcome in verified, spoofed, transient), observed elsewhere, as executors ask no name server."""
+    rdns: (ip, bot_id, outcome in verified, spoofed, transient), judged elsewhere, as executors ask no name server; or
+    ptr and hosts, observations of names and addresses, from which `fcrdns` judges each hit at its time."""
 
     bots: list[dict[str, Any]] = field(default_factory=registry.entries)
     ranges: DataFrame | None = None
     networks: DataFrame | None = None
     rdns: DataFrame | None = None
+    ptr: DataFrame | None = None
+    hosts: DataFrame | None = None
 
 
 def verification(bot_id: Column, key: Column, in_range: Column, has_ranges: Column, bots: list[dict[str, Any]], dns: Column) -> Column:
@@ -114,7 +117,10 @@ def enrich(raw: DataFrame, dims: Dimensions, secret: str, source: str = "api") -
         one = with_session_start(one, ["site_id", "ip_hash", "_ua"])
     one = one.join(agents(raw, dims.bots), "_ua", "left").join(addresses(raw, dims), "ip", "left")
     published = [r[0] for r in dims.ranges.select("bot_id").distinct().collect()] if dims.ranges is not None else []  # at most the registry's bots
-    if dims.rdns is not None:
+    if dims.ptr is not None and dims.hosts is not None:
+        judged = fcrdns.outcomes(one, dims.ptr, dims.hosts, dims.bots).withColumnRenamed("outcome", "_dns")
+        one = one.join(judged, ["ip", "bot_id", "ts"], "left")
+    elif dims.rdns is not None:
         one = one.join(dims.rdns.select("ip", "bot_id", F.col("outcome").alias("_dns")), ["ip", "bot_id"], "left")
     else:
         one = one.withColumn("_dns", F.lit(""))

@@ -21,6 +21,12 @@ def start_millis(ts: Column) -> Column:
     return (seconds * 1000 + F.date_format(ts, "SSS").cast("int")).cast("string")
 
 
+def micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a time without zone, whatever the session's zone."""
+    whole = F.unix_date(F.to_date(ts)).cast("bigint") * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60
+    return whole * 1_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")
+
+
 def with_session_start(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
     """Adds session_start. A key that holds very many rows is still one window; keys here end with the UTC day."""
     order = W.partitionBy(*keys).orderBy(ts)

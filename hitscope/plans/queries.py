@@ -13,7 +13,7 @@ from hitscope import registry, textgen
 from hitscope.functions import ip, request
 from hitscope.functions.agent_index import classified
 from hitscope.functions.agents import classify
-from hitscope.operators import ranges, rollups, sessions
+from hitscope.operators import fcrdns, ranges, rollups, sessions, sketches
 from hitscope.plans import alerts, derived, explore, panels
 from hitscope.sources import logs
 
@@ -113,6 +113,17 @@ def _rollup(name: str) -> Query:
     return lambda spark, sf_dir: _plain(rollups.build(derived.stored(spark, sf_dir), name))
 
 
+def _distinct_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact distinct counts by site and day, and by site, and whether the sketches' estimates are within 5 % of them."""
+    events = derived.stored(spark, sf_dir)
+    daily = sketches.build(events)
+    told = sketches.counts(daily).unionByName(sketches.counts(sketches.merge(daily, ["site_id"])).withColumn("date", F.lit(None).cast("date")))
+    told = told.select(F.col("site_id").alias("_site"), F.col("date").alias("_date"), *[F.col(c).alias(f"_{c}") for c in sketches.COUNTED])
+    both = sketches.exact(events).join(told, (F.col("site_id") == F.col("_site")) & F.col("date").eqNullSafe(F.col("_date")))
+    ok = [(F.abs(F.col(f"_{c}") - F.col(c)) <= 0.05 * F.col(c)).alias(f"{c}_ok") for c in sketches.COUNTED]
+    return _plain(both.select("site_id", "date", *sketches.COUNTED, *ok))
+
+
 def _rollup_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two halves built apart and merged, against the whole: no row."""
     events = derived.stored(spark, sf_dir)
@@ -266,6 +277,23 @@ def _long_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classified(part_agents(parts), long_registry(parts)).select("p_partkey", "ua", "actor_type", "bot_id", "operator")
 
 
+def _fcrdns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits judged by names and addresses that other events say were seen."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), (F.col("user_id") % 50).cast("string").alias("k"))
+    e = e.withColumn("ip", F.concat(F.lit("10.0.0."), "k")).withColumn("host", F.concat(F.lit("crawl-"), "k", F.lit(".googlebot.com")))
+    when = lambda modulus, *found: F.coalesce(*[F.when(F.col("event_id") % modulus == i, x) for i, x in enumerate(found)])
+    lit, none = F.lit, F.lit(None)
+    names = when(5, none, none, F.array(F.concat("host", lit("."))), F.array(lit("x.evil.example"), F.upper("host")), F.array(lit("googlebot.com.evil.example")))
+    ptr = e.filter("event_id % 7 = 0").select("ip", F.col("ts").alias("seen"), when(5, lit("negative"), lit("transient"), lit("found"), lit("found"), lit("found")).alias("code"), names.alias("names"), none.cast("int").alias("ttl"))
+    addresses = when(4, none, none, F.array(F.concat(lit("::ffff:"), "ip")), F.array(lit("10.9.9.9")))
+    hosts = e.filter("event_id % 7 in (1, 2)").select(
+        "host", F.when(F.col("event_id") % 7 == 1, "A").otherwise("AAAA").alias("kind"), F.col("ts").alias("seen"),
+        when(4, lit("transient"), lit("negative"), lit("found"), lit("found")).alias("code"), addresses.alias("addresses"), lit(7200).alias("ttl"),
+    )
+    asked = e.filter("event_id % 7 = 3").select("ip", lit("googlebot").alias("bot_id"), "ts")
+    return fcrdns.outcomes(asked, ptr, hosts, registry.entries()).select("ip", "ts", "outcome")
+
+
 def _truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the panel of bots says that it shows all of them, by the number it may show."""
     p = derived.panels(spark, sf_dir)
@@ -320,6 +348,7 @@ QUERIES: dict[str, Query] = {
     "hourly_wide": _hourly_wide,
     "bots_truncated": _truncated,
     "ua_class_registry": _long_registry,
+    "fcrdns": _fcrdns,
     "ip_verify": lambda s, d: derived.stored(s, d).filter("bot_id != ''").groupBy("bot_id", "bot_ip", "verification").agg(F.count(F.lit(1)).alias("hits")),
     "merged_ranges": _merged_ranges,
     "sessions": lambda s, d: _plain(derived.stored(s, d).groupBy("session_id").agg(F.count(F.lit(1)).alias("hits"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))),
@@ -328,6 +357,7 @@ QUERIES: dict[str, Query] = {
     "daily_referrals": _rollup("daily_referrals"),
     "daily_page_ai_stats": _rollup("daily_page_ai_stats"),
     "rollup_diff": _rollup_diff,
+    "distinct_sketches": _distinct_sketches,
     "registry_merge": _registry_merge,
     "robots_tokens": lambda s, d: textgen.robots_tokens(registry.frame(s), {"training": "deny", "search": "allow", "fetch": "allow"}),
     "page_urls": _page_urls,
@@ -400,6 +430,13 @@ select a.p_partkey, ua, case when token is not null then case when n % 2 = 1 the
     when contains(ua, 'crawl') then 'other_bot' else 'human' end as actor_type,
   case when token is not null then token when regexp_matches(ua, '^Brand[0-9]+Fetch/[0-9]+') then lower(b) || 'fetch' else '' end as bot_id, coalesce(owner, '') as operator
 from a left join m using (p_partkey)"""
+_HELD = "asof left join {t} {n} on a.k = {n}.k and a.ts >= {n}.ts"
+SQL["fcrdns"] = f"""with e as (select event_id, ts::timestamp as ts, user_id % 50 as k from events),
+  a as (select distinct k, ts from e where event_id % 7 = 3), p as (select k, ts, event_id % 5 as c from e where event_id % 7 = 0),
+  h4 as (select k, ts, event_id % 4 as c from e where event_id % 7 = 1), h6 as (select k, ts, event_id % 4 as c from e where event_id % 7 = 2),
+  j as (select a.k, a.ts, case when a.ts < p.ts + interval 1 hour then p.c end as p, case when a.ts < x.ts + interval 2 hours then x.c end as x, case when a.ts < y.ts + interval 2 hours then y.c end as y
+    from a {_HELD.format(t='p', n='p')} {_HELD.format(t='h4', n='x')} {_HELD.format(t='h6', n='y')})
+select '10.0.0.' || k as ip, ts, case when p is null or p = 1 then 'transient' when p in (0, 4) then 'spoofed' when x = 2 or y = 2 then 'verified' when x > 0 and y > 0 then 'spoofed' else 'transient' end as outcome from j"""
 SQL["bots_truncated"] = _q("select most::int as most, least(most, n)::bigint as shown, n > most as more from (select count(distinct bot_id) as n from w where bot_id <> ''), (values (3), (100)) t(most)", _W1)
 _V4 = "{0}0a00' || lpad(lower(to_hex({1})), 2, '0') || lpad(lower(to_hex({2})), 2, '0')"
 _V6 = "{0}20010db8' || lpad(lower(to_hex({1})), 4, '0') || repeat('0', 16) || lpad(lower(to_hex({2})), 4, '0')"

@@ -50,18 +50,58 @@ def test_same_as_batch(spark, ingested):
     assert rollups.difference(job.read_rollup(spark, ingested, "daily_bot_stats"), got, "daily_bot_stats").count() == 0
 
 
-def test_state_goes_on_and_is_forgotten(spark):
-    def at(minutes, state):
-        started, after = job.continued(spark.createDataFrame([hit(minutes)], RAW), state, "k")
-        return started.collect()[0]["session_start"], spark.createDataFrame(after.collect(), job.STATE)
-
-    start, state = at(0, spark.createDataFrame([], job.STATE))
-    assert start == START
-    start, state = at(30, state)
-    assert start == START
-    assert at(-5, state)[0] == START
-    assert at(61, state)[0] == START + dt.timedelta(minutes=61)
-    _, later = job.continued(spark.createDataFrame([hit(60 * 24 + 31, ip="9.9.9.9")], RAW), state, "k")
-    assert later.count() == 1
-    _, later = job.continued(spark.createDataFrame([hit(60 * 24 + 30, ip="9.9.9.9")], RAW), state, "k")
-    assert later.count() == 2
+class Memory:
+    """Stands in for the state store's handle."""
+
+    def __init__(self):
+        self.value, self.timers = None, set()
+
+    def getValueState(self, name, schema):
+        return self
+
+    exists = lambda self: self.value is not None
+    get = lambda self: self.value
+    registerTimer = lambda self, t: self.timers.add(t)
+    deleteTimer = lambda self, t: self.timers.remove(t)
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+
+def test_sessions_of_a_key():
+    from pyspark.sql import Row
+
+    store = Memory()
+    sessions = job.Sessions(1000)
+    sessions.init(store)
+    minute = 60_000_000
+
+    def at(now, *minutes):
+        store.now = now
+        return [r["_begun"] // minute for r in sessions.handleInputRows(("k",), iter([Row(_at=m * minute, _issue=None, event=None) for m in minutes]), store)]
+
+    assert at(0, 0) == [0] and store.timers == {1000}
+    assert at(10, 60, 30) == [0, 0] and store.timers == {1010}  # in order of time: 30, then 60
+    assert at(20, -5) == [0]
+    assert at(30, 91, 130) == [91, 130] and store.timers == {1030}
+    assert list(sessions.handleExpiredTimer(("k",), store, None)) == [] and not store.exists()
+    assert at(2000, 131) == [131]
+
+
+def test_idle_keys_are_forgotten_by_timer(spark, tmp_path):
+    """With next to no time kept, the first visitor's state ends in the second micro-batch, so a hit ten minutes later begins a session."""
+    (tmp_path / "in").mkdir()
+    for i, rows in enumerate([[hit(0)], [hit(5, ip="192.0.2.9")], [hit(10)]]):
+        spark.createDataFrame(rows, RAW).coalesce(1).write.parquet(str(tmp_path / f"part{i}"))
+        (file,) = (tmp_path / f"part{i}").glob("*.parquet")
+        file.rename(tmp_path / "in" / f"{i}.parquet")
+        stream = spark.readStream.schema(RAW).parquet(str(tmp_path / "in"))
+        job.ingest(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint"), Dimensions(), "k", {"availableNow": True}, kept_minutes=0.00002).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out" / "events"))
+    assert got.count() == 3 and got.select("session_id").distinct().count() == 3
