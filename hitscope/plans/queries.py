@@ -437,6 +437,9 @@ SQL["fcrdns"] = f"""with e as (select event_id, ts::timestamp as ts, user_id % 5
   j as (select a.k, a.ts, case when a.ts < p.ts + interval 1 hour then p.c end as p, case when a.ts < x.ts + interval 2 hours then x.c end as x, case when a.ts < y.ts + interval 2 hours then y.c end as y
     from a {_HELD.format(t='p', n='p')} {_HELD.format(t='h4', n='x')} {_HELD.format(t='h6', n='y')})
 select '10.0.0.' || k as ip, ts, case when p is null or p = 1 then 'transient' when p in (0, 4) then 'spoofed' when x = 2 or y = 2 then 'verified' when x > 0 and y > 0 then 'spoofed' else 'transient' end as outcome from j"""
+SQL["distinct_sketches"] = _q("""select site_id, cast(d as varchar) as date, count(distinct ip_hash) as visitors, count(distinct session_id) as sessions, count(distinct path_group) as pages,
+    count(distinct nullif(bot_id, '')) as bots, true as visitors_ok, true as sessions_ok, true as pages_ok, true as bots_ok
+  from (select *, ts::date as d from events_enriched) group by grouping sets ((site_id, d), (site_id))""")
 SQL["bots_truncated"] = _q("select most::int as most, least(most, n)::bigint as shown, n > most as more from (select count(distinct bot_id) as n from w where bot_id <> ''), (values (3), (100)) t(most)", _W1)
 _V4 = "{0}0a00' || lpad(lower(to_hex({1})), 2, '0') || lpad(lower(to_hex({2})), 2, '0')"
 _V6 = "{0}20010db8' || lpad(lower(to_hex({1})), 4, '0') || repeat('0', 16) || lpad(lower(to_hex({2})), 4, '0')"
