@@ -14,7 +14,7 @@ from hitscope.functions import ip, request
 from hitscope.functions.agent_index import classified
 from hitscope.functions.agents import classify
 from hitscope.operators import fcrdns, ranges, rollups, sessions, sketches
-from hitscope.plans import alerts, derived, explore, panels
+from hitscope.plans import alerts, all_sites, derived, explore, panels
 from hitscope.sources import logs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -337,6 +337,7 @@ QUERIES: dict[str, Query] = {
     "alert_spike": _panel(lambda p: alerts.spike(p, 0.5), as_of=dt.datetime(2024, 1, 20, 12)),
     "alert_new_bot": _early(180, alerts.new_bots),
     "alert_spoof": _panel(lambda p: alerts.spoofed(p, 3 * 24 * 60)),
+    "alerts_all_sites": _panel(lambda p: all_sites.found(p, 180, 0.5), as_of=EARLY),
     "alert_broken": _panel(lambda p: alerts.broken_citations(p, 3 * 24 * 60)),
     "path_group": _raw(lambda r: r.select("path").distinct().select("path", request.path_group(request.pathname(F.col("path"))).alias("path_group"))),
     "referral_class": _raw(lambda r: r.select("referer", "path").distinct().select("referer", "path", request.referral(F.col("referer"), request.query(F.col("path"))).alias("source"))),
@@ -440,6 +441,16 @@ select '10.0.0.' || k as ip, ts, case when p is null or p = 1 then 'transient' w
 SQL["distinct_sketches"] = _q("""select site_id, cast(d as varchar) as date, count(distinct ip_hash) as visitors, count(distinct session_id) as sessions, count(distinct path_group) as pages,
     count(distinct nullif(bot_id, '')) as bots, true as visitors_ok, true as sessions_ok, true as pages_ok, true as bots_ok
   from (select *, ts::date as d from events_enriched) group by grouping sets ((site_id, d), (site_id))""")
+SQL["alerts_all_sites"] = _q(f"""select rule, site_id, subject, value, base from (
+  select 'spike' as rule, site_id, 'ai' as subject, count(*) filter (ts > {_EARLY} - interval 1 hour) as value, round(count(*) filter (ts <= {_EARLY} - interval 1 hour) / 167, 9) as base
+    from w where {_AI} and {_REAL} and ts > {_EARLY} - interval 7 days group by site_id having value >= 20 and base > 0 and value > 0.5 * base
+  union all select 'new_bot', site_id, bot_id, count(*), null from w where ts >= {_EARLY} - interval 180 minutes and {_REAL} and bot_id <> ''
+    and (site_id, bot_id) not in (select (site_id, bot_id) from w where ts < {_EARLY} - interval 180 minutes) and site_id in (select site_id from w where ts < {_EARLY} - interval 180 minutes) group by all
+  union all select 'spoof', site_id, bot_id, count(*), null from w where verification = 'spoofed' and ts > {_EARLY} - interval 180 minutes group by all
+  union all select 'broken_citation', site_id, path_group, count(*), null from w where actor_type in ('ai_fetcher', 'ai_search') and {_REAL} and status >= 400 and status not in (401, 403)
+    and ts > {_EARLY} - interval 180 minutes and (site_id, path_group) in (select (site_id, path_group) from events_enriched where actor_type in ('ai_fetcher', 'ai_search') and {_REAL}
+      and cast(ts as date) > date '2024-01-01' - 31 group by site_id, path_group having count(*) > count(*) filter (status >= 400)) group by all)
+  qualify row_number() over (partition by rule, site_id order by value desc, subject) <= 20""", f"w as (select * from events_enriched where ts <= {_EARLY} and ts >= {_EARLY} - interval 30 days)")
 SQL["bots_truncated"] = _q("select most::int as most, least(most, n)::bigint as shown, n > most as more from (select count(distinct bot_id) as n from w where bot_id <> ''), (values (3), (100)) t(most)", _W1)
 _V4 = "{0}0a00' || lpad(lower(to_hex({1})), 2, '0') || lpad(lower(to_hex({2})), 2, '0')"
 _V6 = "{0}20010db8' || lpad(lower(to_hex({1})), 4, '0') || repeat('0', 16) || lpad(lower(to_hex({2})), 4, '0')"
