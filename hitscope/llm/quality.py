@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitscope.llm.common import WORD_SPACE, documents, words
+from hitscope.llm.common import WORD_SPACE, documents, unused, words
 
 SYMBOLS = "#*$%&|<>"
 
@@ -37,6 +37,9 @@ POLICIES: dict[str, list[str]] = {
 }
 
 
+HELPERS = ("_w", "_s", "_lines", "_at", "_low", "_bits")
+
+
 def mask(names: list[str]) -> int:
     places = list(RULES)
     return sum(1 << places.index(n) for n in names)
@@ -49,6 +52,9 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     packed as hash and position into one long, with only as many position bits as the text needs, and
     sorted; windows with an equal neighbour are compared word by word.
     """
+    # own columns with a helper's name go through under another
+    away = {c: unused(f"own{c}", docs.columns) for c in docs.columns if c.lower() in HELPERS}
+    docs, text = docs.withColumnsRenamed(away), away.get(text, text)
     body = F.coalesce(F.col(text), F.lit(""))
     count_of = lambda chars: F.char_length(body) - F.char_length(F.translate(body, chars, ""))
     lines = F.filter(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(WORD_SPACE)) != "")
@@ -93,7 +99,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     # the row number, always true here, keeps the optimizer from copying the measures into filters above them
     covered = F.when(F.monotonically_increasing_id() >= 0, covered)
-    return four.withColumn("n_repeat_words", covered).drop("_w", "_bits", "_low", "_s", "_at")
+    return four.withColumn("n_repeat_words", covered).drop("_w", "_bits", "_low", "_s", "_at").withColumnsRenamed({to: c for c, to in away.items()})
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
