@@ -124,6 +124,16 @@ def _distinct_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(both.select("site_id", "date", *sketches.COUNTED, *ok))
 
 
+def _robots_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of a registry made of parts: an agent of some category for each brand and size, a second one, in capitals, for some."""
+    brand, size = F.replace("p_brand", F.lit("#"), F.lit("")), F.col("p_size")
+    each = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(brand, F.lit("-"), size.cast("string")).alias("token"), size.alias("n")).distinct()
+    kind = F.element_at(F.array(*map(F.lit, ("ai_training", "ai_search", "ai_fetcher", "seo_tool"))), (F.col("n") % 4 + 1).cast("int"))
+    first = each.select(F.lower("token").alias("bot_id"), kind.alias("actor_type"), F.array(F.concat("token", F.lit("/"))).alias("ua_patterns"))
+    second = each.filter("n % 5 = 0").select(F.concat(F.lit("z-"), F.lower("token")).alias("bot_id"), F.lit("ai_training").alias("actor_type"), F.array(F.upper("token")).alias("ua_patterns"))
+    return textgen.robots_tokens(first.unionByName(second), {"training": "deny", "search": "allow", "fetch": "allow"})
+
+
 def _rollup_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two halves built apart and merged, against the whole: no row."""
     events = derived.stored(spark, sf_dir)
@@ -360,13 +370,11 @@ QUERIES: dict[str, Query] = {
     "rollup_diff": _rollup_diff,
     "distinct_sketches": _distinct_sketches,
     "registry_merge": _registry_merge,
-    "robots_tokens": lambda s, d: textgen.robots_tokens(registry.frame(s), {"training": "deny", "search": "allow", "fetch": "allow"}),
+    "robots_tokens": _robots_tokens,
     "page_urls": _page_urls,
     "user_sessions": lambda s, d: sessions.with_session_start(s.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "ts"), ["user_id"]).select("event_id", "session_start"),
 } | {f"log_{f.replace('-', '_')}": _log(f) for f in ("apache", "nginx-combined", "nginx-json", "caddy-json", "cloudflare-ndjson", "jsonl")} | {f"explore_{m}_{d}": _explore(m, d) for m, d in EXPLORED} | {"explore_filtered": _explore("hits", "path_group", {"operator": "openai", "verification": "verified", "country": ""})}
 
-_ROBOTS = ", ".join(f"('{e['ua_patterns'][0]}', {str(e['actor_type'] == 'ai_training').lower()})" for e in registry.entries() if e["actor_type"] in textgen.CATEGORIES and e["bot_id"] != "spider")
-
 SQL: dict[str, str] = {
     "enriched_events": _q("select * from events_enriched"),
     "kpis": _q(_KPIS, _W1),
@@ -413,7 +421,9 @@ SQL: dict[str, str] = {
     "daily_referrals": _q("select site_id, (ts::date)::varchar as date, ai_referral, path_group, count(*) as hits from events_enriched where ai_referral <> '' group by all"),
     "daily_page_ai_stats": _q(f"select site_id, (ts::date)::varchar as date, path_group, actor_type, verification, count(*) as hits, count(*) filter (status >= 400) as errors from events_enriched where {_AI} group by all"),
     "rollup_diff": "select * from (values ('daily_bot_stats', 0::bigint), ('daily_page_stats', 0), ('daily_referrals', 0), ('daily_page_ai_stats', 0)) t(rollup, rows)",
-    "robots_tokens": f"select token, denied from (values {_ROBOTS}) t(token, denied)",
+    "robots_tokens": """with p as (select distinct replace(p_brand, '#', '') || '-' || p_size as token, p_size as n from part),
+      e as (select lower(token) as bot, token, n % 4 as kind from p where n % 4 <> 3 union all select 'z-' || lower(token), upper(token), 0 from p where n % 5 = 0)
+      select arg_min(token, bot) as token, bool_or(kind = 0) as denied from e group by lower(token)""",
     "user_sessions": "with a as (select event_id, user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 30 minutes then 0 else 1 end as f from events), b as (select *, sum(f) over (partition by user_id order by ts rows unbounded preceding) as k from a) select event_id, min(ts) over (partition by user_id, k) as session_start from b",
     "explore_filtered": _q("select path_group as key, count(*) as value from w where operator = 'openai' and verification = 'verified' group by 1 order by 2 desc, 1 limit 50", _W1),
 } | {f"explore_{m}_{d}": _q(f"select {_DIMENSION[d]} as key, cast({_METRIC[m]} as bigint) as value from w group by 1 order by 2 desc, 1 limit 50", _W1) for m, d in EXPLORED}

@@ -7,6 +7,7 @@ import datetime as dt
 import io
 import json
 import time
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
@@ -16,14 +17,42 @@ from pyspark.sql import functions as F
 
 from hitscope.functions.ip import ip_key
 from hitscope.operators import rollups
+from hitscope.storage import shared_dir
 
 CHUNK = 5000
 
 
-def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
-    """Enriched events, partitioned by month and sorted for row-group skipping."""
+#: Rows of a file of events: some 200 MB.
+ROWS_A_FILE = 2_000_000
+LAYOUT = ["month", "site_id", "actor_type", "ts"]
+
+
+def write_events(events: DataFrame, path: str, mode: str = "append", rows_a_file: int = ROWS_A_FILE) -> None:
+    """Enriched events by month, in files of about as many rows, each a range of site, actor and time, so that readers
+    skip files and row groups. They are stored as they come first: that tells how many files, thus writers, they need."""
+    spark = events.sparkSession
+    staged = f"{shared_dir(spark)}/hitscope/staged-{uuid.uuid4().hex}"
     dated = events.withColumn("month", F.date_format("ts", "yyyyMM"))
-    dated.repartition("month", F.pmod(F.xxhash64("session_id"), F.lit(64))).sortWithinPartitions("site_id", "actor_type", "ts").write.mode(mode).partitionBy("month").parquet(path)
+    dated.write.parquet(staged)
+    held = spark.read.schema(dated.schema).parquet(staged)
+    writers = max(1, -(-held.count() // rows_a_file))  # the count comes from the files' footers
+    held.repartitionByRange(writers, *LAYOUT).sortWithinPartitions(*LAYOUT).write.mode(mode).partitionBy("month").parquet(path)
+    _delete(spark, staged)
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def expire_events(spark: SparkSession, path: str, as_of: dt.datetime, keep: int = 13) -> list[str]:
+    """Deletes the months of events that are wholly older than the retention, and says which."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [s.getPath().getName() for s in root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)]
+    gone = rollups.expired_months(sorted(n.removeprefix("month=") for n in names if n.startswith("month=")), as_of, keep)
+    for month in gone:
+        _delete(spark, f"{path}/month={month}")
+    return gone
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
