@@ -2,7 +2,8 @@
 
 Sessions are keyed state in the state store: what a micro-batch reads and writes of it is the keys it holds, not all that
 are open. A timer for each key ends its state. Every micro-batch writes below batch=<id>; a replayed batch overwrites its
-own folder, so nothing is counted twice. Late events are kept: partials add up whenever they come.
+own folder, so nothing is counted twice. Late events are kept: partials add up whenever they come. Partials are merged in
+place as batches go by (`compaction`).
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from hitscope.functions.request import visitor_hash
 from hitscope.operators import rollups, sketches
 from hitscope.operators.enrich import Dimensions, enrich, first_issue
 from hitscope.operators.sessions import IDLE_MINUTES, micros
+from hitscope.streaming import compaction
 
 #: How long after its last hit a key's session is still known, in minutes of the clock.
 KEPT_MINUTES = 24 * 60
@@ -99,6 +101,8 @@ def write_batch(told: DataFrame, batch_id: int, out: str, dims: Dimensions, secr
     for name in rollups.KEYS:
         rollups.build(events, name).write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
     sketches.build(events).write.mode("overwrite").parquet(f"{out}/daily_distinct/batch={batch_id}")
+    if batch_id % compaction.FANOUT == 0:  # this batch itself may be replayed, those before it never
+        compact(spark, out, batch_id - 1)
 
 
 def ingest(
@@ -121,21 +125,19 @@ def ingest(
             conf.unset(k) if v is None else conf.set(k, v)
 
 
-def read_rollup(spark: SparkSession, out: str, name: str) -> DataFrame:
-    """All partials of a rollup, summed."""
-    return rollups.merge(spark.read.parquet(f"{out}/{name}").drop("batch"), name=name)
-
+def _mergers() -> dict[str, compaction.Merge]:
+    """The tables of partials, and how their partials merge."""
+    of = lambda name: lambda df: rollups.merge(df.drop("batch"), name=name)
+    return {name: of(name) for name in rollups.KEYS} | {"daily_distinct": lambda df: sketches.merge(df.drop("batch"))}
 
-def read_distinct(spark: SparkSession, out: str) -> DataFrame:
-    """All partials of the daily sketches, merged."""
-    return sketches.merge(spark.read.parquet(f"{out}/daily_distinct").drop("batch"))
 
+def compact(spark: SparkSession, out: str, upto: int, fanout: int = compaction.FANOUT) -> None:
+    """Merges the partials of batches up to `upto` where there are enough, and removes what no reader needs any more."""
+    for name, merge in _mergers().items():
+        if compaction.compact(spark, f"{out}/{name}", merge, upto, fanout):
+            compaction.vacuum(spark, f"{out}/{name}")
 
-def compact(spark: SparkSession, out: str, name: str, to: str) -> None:
-    """A rollup's partials as one row a key, in a new table."""
-    read_rollup(spark, out, name).write.mode("overwrite").parquet(to)
 
-
-def distinct_lines(lines: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Lines of a stream once each, within a watermark on `seen_at`."""
-    return lines.withWatermark("seen_at", delay).withColumn("line_hash", F.sha2("line", 256)).dropDuplicatesWithinWatermark(["line_hash"]).drop("line_hash")
+def read_rollup(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """A rollup, or the sketches daily_distinct: all partials, merged."""
+    return compaction.read(spark, f"{out}/{name}", _mergers()[name])

@@ -5,8 +5,8 @@ import datetime as dt
 import pytest
 
 from hitscope.operators.enrich import RAW, Dimensions, enrich
-from hitscope.operators import rollups
-from hitscope.streaming import job
+from hitscope.operators import rollups, sketches
+from hitscope.streaming import compaction, job
 
 BROWSER = "Mozilla/5.0 (Windows NT 10.0) Chrome/120.0"
 START = dt.datetime(2024, 3, 1, 10)
@@ -47,7 +47,13 @@ def test_same_as_batch(spark, ingested):
     # 192.0.2.1: minutes 0 to 50 are one session, 81 another; 192.0.2.2: two; the crawler: one
     assert got.select("session_id").distinct().count() == 5
     assert spark.read.parquet(f"{ingested}/rejected").select("issue").collect()[0][0] == "ts"
-    assert rollups.difference(job.read_rollup(spark, ingested, "daily_bot_stats"), got, "daily_bot_stats").count() == 0
+    same = lambda: rollups.difference(job.read_rollup(spark, ingested, "daily_bot_stats"), got, "daily_bot_stats").count() == 0
+    distinct = lambda: sketches.counts(job.read_rollup(spark, ingested, "daily_distinct")).first().asDict()
+    exact = sketches.exact(got).filter("date is not null").first().asDict()
+    assert same() and distinct() == exact
+    job.compact(spark, ingested, 1, fanout=2)
+    assert len(compaction.parts(spark, f"{ingested}/daily_bot_stats")) == 2
+    assert same() and distinct() == exact
 
 
 class Memory:
