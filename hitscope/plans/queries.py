@@ -13,7 +13,7 @@ from hitscope import registry, textgen
 from hitscope.functions import ip, request
 from hitscope.functions.agent_index import classified
 from hitscope.functions.agents import classify
-from hitscope.operators import fcrdns, ranges, rollups, sessions, sketches
+from hitscope.operators import fcrdns, ranges, rollups, segmented, sessions, sketches
 from hitscope.plans import alerts, all_sites, derived, explore, panels
 from hitscope.sources import logs
 
@@ -154,6 +154,20 @@ def _merged_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.merged(rows, ["owner"])
 
 
+def _one_owner_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders as intervals of one owner."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    lo = (F.col("o_orderkey") * 37) % 1000003
+    as_key = lambda c: F.lpad(F.lower(F.hex(c.cast("bigint"))), 8, "0")
+    return segmented.merged(orders.select(F.lit("all").alias("owner"), as_key(lo).alias("first"), as_key(lo + F.col("o_orderkey") % 9).alias("last")), ["owner"])
+
+
+def _one_key_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of all events, as hits of one automaton."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), F.lit("one").alias("key"))
+    return segmented.with_session_start(e, ["key"]).select("event_id", "session_start")
+
+
 def _ip_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = derived.raw(spark, sf_dir).select("ip").distinct().withColumn("key", ip.ip_key(F.col("ip")))
     nets = derived.dimensions(spark).networks
@@ -300,7 +314,7 @@ def _fcrdns(spark: SparkSession, sf_dir: str) -> DataFrame:
         "host", F.when(F.col("event_id") % 7 == 1, "A").otherwise("AAAA").alias("kind"), F.col("ts").alias("seen"),
         when(4, lit("transient"), lit("negative"), lit("found"), lit("found")).alias("code"), addresses.alias("addresses"), lit(7200).alias("ttl"),
     )
-    asked = e.filter("event_id % 7 = 3").select("ip", lit("googlebot").alias("bot_id"), "ts")
+    asked = e.filter("event_id % 7 > 2").select("ip", lit("googlebot").alias("bot_id"), "ts")
     return fcrdns.outcomes(asked, ptr, hosts, registry.entries()).select("ip", "ts", "outcome")
 
 
@@ -362,6 +376,8 @@ QUERIES: dict[str, Query] = {
     "fcrdns": _fcrdns,
     "ip_verify": lambda s, d: derived.stored(s, d).filter("bot_id != ''").groupBy("bot_id", "bot_ip", "verification").agg(F.count(F.lit(1)).alias("hits")),
     "merged_ranges": _merged_ranges,
+    "merged_ranges_one_owner": _one_owner_ranges,
+    "sessions_one_key": _one_key_sessions,
     "sessions": lambda s, d: _plain(derived.stored(s, d).groupBy("session_id").agg(F.count(F.lit(1)).alias("hits"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))),
     "daily_bot_stats": _rollup("daily_bot_stats"),
     "daily_page_stats": _rollup("daily_page_stats"),
@@ -443,7 +459,7 @@ select a.p_partkey, ua, case when token is not null then case when n % 2 = 1 the
 from a left join m using (p_partkey)"""
 _HELD = "asof left join {t} {n} on a.k = {n}.k and a.ts >= {n}.ts"
 SQL["fcrdns"] = f"""with e as (select event_id, ts::timestamp as ts, user_id % 50 as k from events),
-  a as (select distinct k, ts from e where event_id % 7 = 3), p as (select k, ts, event_id % 5 as c from e where event_id % 7 = 0),
+  a as (select distinct k, ts from e where event_id % 7 > 2), p as (select k, ts, event_id % 5 as c from e where event_id % 7 = 0),
   h4 as (select k, ts, event_id % 4 as c from e where event_id % 7 = 1), h6 as (select k, ts, event_id % 4 as c from e where event_id % 7 = 2),
   j as (select a.k, a.ts, case when a.ts < p.ts + interval 1 hour then p.c end as p, case when a.ts < x.ts + interval 2 hours then x.c end as x, case when a.ts < y.ts + interval 2 hours then y.c end as y
     from a {_HELD.format(t='p', n='p')} {_HELD.format(t='h4', n='x')} {_HELD.format(t='h6', n='y')})
@@ -461,6 +477,11 @@ SQL["alerts_all_sites"] = _q(f"""select rule, site_id, subject, value, base from
     and ts > {_EARLY} - interval 180 minutes and (site_id, path_group) in (select (site_id, path_group) from events_enriched where actor_type in ('ai_fetcher', 'ai_search') and {_REAL}
       and cast(ts as date) > date '2024-01-01' - 31 group by site_id, path_group having count(*) > count(*) filter (status >= 400)) group by all)
   qualify row_number() over (partition by rule, site_id order by value desc, subject) <= 20""", f"w as (select * from events_enriched where ts <= {_EARLY} and ts >= {_EARLY} - interval 30 days)")
+SQL["merged_ranges_one_owner"] = """with r as (select o_orderkey * 37 % 1000003 as lo, o_orderkey * 37 % 1000003 + o_orderkey % 9 as hi from orders),
+  m as (select *, max(hi) over (order by lo, hi rows between unbounded preceding and 1 preceding) as reach from r), g as (select *, sum(case when lo <= reach + 1 then 0 else 1 end) over (order by lo, hi rows unbounded preceding) as k from m)
+select 'all' as owner, lpad(lower(to_hex(min(lo)::bigint)), 8, '0') as first, lpad(lower(to_hex(max(hi)::bigint)), 8, '0') as last from g group by k"""
+SQL["sessions_one_key"] = """with a as (select event_id, ts::timestamp as ts, case when ts - lag(ts) over (order by ts) <= interval 30 minutes then 0 else 1 end as f from events),
+  b as (select *, sum(f) over (order by ts rows unbounded preceding) as k from a) select event_id, min(ts) over (partition by k) as session_start from b"""
 SQL["bots_truncated"] = _q("select most::int as most, least(most, n)::bigint as shown, n > most as more from (select count(distinct bot_id) as n from w where bot_id <> ''), (values (3), (100)) t(most)", _W1)
 _V4 = "{0}0a00' || lpad(lower(to_hex({1})), 2, '0') || lpad(lower(to_hex({2})), 2, '0')"
 _V6 = "{0}20010db8' || lpad(lower(to_hex({1})), 4, '0') || repeat('0', 16) || lpad(lower(to_hex({2})), 4, '0')"
