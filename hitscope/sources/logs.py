@@ -180,12 +180,24 @@ class Counters:
         return base if s["recognised"] else f"{base}; no line was recognised: is this the log's format?"
 
 
+def distinct_lines(lines: DataFrame) -> DataFrame:
+    """Each line of a file once: lines of equal `_file` and `line`, known by 128 bits of hashes, are one.
+
+    Only hashes are shuffled to find what repeats. Lines that do not repeat stay where they were read; the others, and
+    only they, are gathered. Where few lines repeat, Spark broadcasts their hashes."""
+    key = ["_h", "_g", "_p"]
+    keyed = lines.select("*", F.xxhash64("line").alias("_h"), F.xxhash64(F.lit(7), F.col("line")).alias("_g"), F.xxhash64("_file").alias("_p"))
+    repeated = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*key)
+    once = keyed.join(repeated, key, "left_anti")
+    return once.unionByName(keyed.join(repeated, key, "left_semi").dropDuplicates(key)).drop(*key)
+
+
 def read_log(spark: SparkSession, path: str, format: str, site_id: str, field_map: dict[str, str] | None = None) -> tuple[DataFrame, Counters]:
     """A file's or folder's events, each distinct line once per file, and counters filled as the result is used."""
     counted = Counters(Observation(), Observation())
     lines = spark.read.text(path).withColumnRenamed("value", "line").withColumn("_file", F.input_file_name())
     lines = lines.observe(counted.lines, F.count(F.lit(1)).alias("lines_read"))
-    parsed = parse(lines.dropDuplicates(["_file", "line"]).drop("_file"), format, field_map)
+    parsed = parse(distinct_lines(lines).drop("_file"), format, field_map)
     return events(parsed.observe(counted.kept, F.count_if("ok").alias("events")), site_id), counted
 
 
