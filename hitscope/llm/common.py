@@ -16,6 +16,9 @@ from hitscope.storage import shared_dir
 #: A word is a maximal run of characters other than these.
 WORD_SPACE = " \t\n\x0b\x0c\r"
 WORD_SPLIT = "[ \\t-\\r]+"
+#: Rows whose values a worker holds as Python objects at once.
+ROWS_AT_ONCE = 500
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -38,10 +41,12 @@ def beside(df: DataFrame, sources: list[str], made: list[tuple[str, T.DataType,
     sent = df.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"`{c}`").alias(f"source {i}") for i, c in enumerate(sources)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = work(*[batch.column(len(kept) + i).to_pylist() for i in range(len(sources))])
-            columns = [batch.column(i) for i in range(len(kept))] + [pa.array(x, t) for x, (_, _, t) in zip(got, made, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, [*kept, *[n for n, _, _ in made]])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
+                got = work(*[batch.column(len(kept) + i).to_pylist() for i in range(len(sources))])
+                columns = [batch.column(i) for i in range(len(kept))] + [pa.array(x, t) for x, (_, _, t) in zip(got, made, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, [*kept, *[n for n, _, _ in made]])
 
     return sent.mapInArrow(run, T.StructType([*own, *[T.StructField(n, t) for n, t, _ in made]]))
 
