@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from hitscope.llm.common import beside, documents
 
 #: Bytes of each of a worker's two tables, the longest piece they keep, and characters taken together as one chunk of the corpus.
-TABLE_BYTES, LONGEST_KEPT, CHUNK_CHARS = 48_000_000, 64, 1_000_000
+TABLE_BYTES, LONGEST_KEPT, CHUNK_CHARS = 20_000_000, 64, 1_000_000
 #: About what a table entry takes besides its own characters.
 ENTRY_BYTES = 200
 
