@@ -6,6 +6,7 @@ import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Files that are no content, and those a browser loads to render a page. Fixed values.
@@ -150,6 +151,12 @@ class Panels:
         rows = self.top_bots(h, most + 1)
         return rows.limit(most), rows.count() > most
 
+    def bots_flagged(self, h: int = 24, most: int = 100) -> DataFrame:
+        """The top bots, each with `more`: whether there are more than are shown."""
+        rows = self.top_bots(h, most + 1)
+        # one row more than is shown at most, so one window holds them
+        return rows.withColumn("more", F.count(F.lit(1)).over(W.partitionBy()) > most).orderBy(F.desc("hits"), "bot_id").limit(most)
+
     def hourly(self, h: int = 24) -> DataFrame:
         return self.hours(h).filter(genuine()).groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("t"), "actor_type").agg(hits().alias("hits"))
 

@@ -321,8 +321,8 @@ def _fcrdns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the panel of bots says that it shows all of them, by the number it may show."""
     p = derived.panels(spark, sf_dir)
-    said = [(most, *(x if isinstance(x, bool) else x.count() for x in p.bots(HOURS, most))) for most in (3, 100)]
-    return spark.createDataFrame(said, "most int, shown long, more boolean")
+    said = [p.bots_flagged(HOURS, most).agg(F.lit(most).alias("most"), F.count(F.lit(1)).alias("shown"), F.coalesce(F.bool_or("more"), F.lit(False)).alias("more")) for most in (3, 100)]
+    return said[0].unionByName(said[1])
 
 
 QUERIES: dict[str, Query] = {
