@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hitscope.functions.ip import let
+from hitscope.functions.request import upper
 
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 
@@ -17,6 +18,11 @@ def _of_millis(ms: Column) -> Column:
 
 def iso_time(x: Column) -> Column:
     """An ISO 8601 time to UTC, cut to milliseconds; without an offset it is taken as UTC."""
+    plain = F.when(x.rlike(r"\A\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?[Zz]?\z"), F.translate(x, "TZz", " ").try_cast("timestamp_ntz"))
+    return F.coalesce(F.date_trunc("millisecond", plain).cast("timestamp_ntz"), let(x, _any_iso_time))
+
+
+def _any_iso_time(x: Column) -> Column:
     zone = F.regexp_extract(x, r"(Z|z|[+-]\d{2}:?\d{2})\z", 1)
     body = F.regexp_replace(F.regexp_replace(x, r"(Z|z|[+-]\d{2}:?\d{2})\z", ""), "T", " ")
     body = F.when(body.rlike(r"\A\d{4}-\d{2}-\d{2}\z"), body).when(body.rlike(r"\A\d{4}-\d{2}-\d{2} \d{2}:\d{2}(:\d{2}([.,]\d+)?)?\z"), F.replace(body, F.lit(","), F.lit(".")))
@@ -47,25 +53,26 @@ def event_time(x: Column) -> Column:
 
 def clf_time(x: Column) -> Column:
     """dd/Mon/yyyy:HH:MM:SS ±hhmm to UTC; month names must have their usual case, and days must exist."""
-    pattern = r"\A(\d{2})/([A-Za-z]{3})/(\d{4}):(\d{2}):(\d{2}):(\d{2}) ([+-])(\d{2})(\d{2})\z"
-    part = lambda k: F.regexp_extract(x, pattern, k)
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), part(2))
-    local = F.concat(part(3), F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), part(1), F.lit(" "), part(4), F.lit(":"), part(5), F.lit(":"), part(6)).try_cast("timestamp_ntz")
-    minutes = part(8).try_cast("int") * 60 + part(9).try_cast("int")
-    return F.when(x.rlike(pattern) & (month > 0), F.timestamp_add("MINUTE", F.when(part(7) == "-", minutes).otherwise(-minutes), local))
+    part = lambda first, size: x.substr(first, size)
+    month = F.array_position(F.array(*map(F.lit, MONTHS)), part(4, 3))
+    local = F.concat(part(8, 4), F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), part(1, 2), F.lit(" "), part(13, 8)).try_cast("timestamp_ntz")
+    minutes = part(23, 2).try_cast("int") * 60 + part(25, 2).try_cast("int")
+    shape = x.rlike(r"\A\d{2}/[A-Za-z]{3}/\d{4}:\d{2}:\d{2}:\d{2} [+-]\d{4}\z")
+    return F.when(shape & (month > 0), F.timestamp_add("MINUTE", F.when(part(22, 1) == "-", minutes).otherwise(-minutes), local))
 
 
 def method(x: Column) -> Column:
-    m = F.upper(F.trim(x))
-    return F.when(m.rlike(r"\A[!#$%&'*+.^_`|~0-9A-Z-]+\z"), m)
+    return let(upper(F.trim(x)), lambda m: F.when(m.rlike(r"\A[!#$%&'*+.^_`|~0-9A-Z-]+\z"), m))
 
 
 def path(x: Column) -> Column:
     """A path with its query; an absolute URL gives its own; null if empty or with white space."""
-    t = F.trim(x)
-    own = F.regexp_replace(F.regexp_replace(t, r"(?i)^https?://[^/?#]*", ""), "#.*$", "")
-    own = F.when(own == "", "/").when(F.startswith(own, F.lit("?")), F.concat(F.lit("/"), own)).otherwise(own)
-    return F.when((t != "") & ~t.rlike(r"\s"), F.when(t.rlike(r"(?i)^https?://"), own).otherwise(t))
+
+    def own(url: Column) -> Column:
+        rest = F.regexp_replace(F.regexp_replace(url, r"(?i)^https?://[^/?#]*", ""), "#.*$", "")
+        return let(rest, lambda r: F.when(r == "", "/").when(F.startswith(r, F.lit("?")), F.concat(F.lit("/"), r)).otherwise(r))
+
+    return let(F.trim(x), lambda t: F.when((t != "") & ~t.rlike(r"\s"), F.when(t.rlike(r"(?i)^https?://"), own(t)).otherwise(t)))
 
 
 def status(x: Column) -> Column:

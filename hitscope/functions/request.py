@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,6 +26,11 @@ _URL = r"^([a-z][a-z0-9+.-]*)://(?:[^/?#@\\]*@)?(\[[0-9a-f:.]+\]|[^/?#:@\\]*)(?:
 _BARE = r"(?i)^[a-z0-9.-]+\.[a-z]{2,}(/|$)"
 
 
+def upper(x: Column) -> Column:
+    """The text in upper case. ASCII goes letter by letter, without the rules of other scripts."""
+    return F.when(x.rlike(r"[^\x00-\x7F]"), F.upper(x)).otherwise(F.translate(x, string.ascii_lowercase, string.ascii_uppercase))
+
+
 def pathname(path: Column) -> Column:
     return F.substring_index(path, "?", 1)
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from hitscope.functions import logfields as n
+from hitscope.functions.ip import let
 
 FIELDS = ["ts", "ip", "method", "path", "status", "bytes", "ua", "referer", "response_ms"]
 REQUIRED = ["ts", "ip", "method", "path", "status", "bytes"]
@@ -34,7 +35,7 @@ _MARK = "\x1e\x1f"
 def _groups(x: Column, pattern: str, count: int) -> Column:
     """array<string> of a whole match's groups, or null."""
     found = F.split(F.regexp_replace(x, pattern, _MARK.join(f"${k}" for k in range(1, count + 1))), _MARK)
-    return F.when(~F.contains(x, F.lit(_MARK)), F.when(F.size(found) == count, found))
+    return F.when(~F.contains(x, F.lit(_MARK)), let(found, lambda f: F.when(F.size(f) == count, f)))
 
 
 def _clf(tail: str) -> Callable[[Column], list[tuple[str, Column]]]:
@@ -44,6 +45,15 @@ def _clf(tail: str) -> Callable[[Column], list[tuple[str, Column]]]:
     return lambda line: [("_parts", _groups(line, pattern, 9)), ("_request", _groups(_unescaped(F.get("_parts", F.lit(4))), request, 2))]
 
 
+def _found(of: dict[str, Column]) -> list[tuple[str, Column]]:
+    """What is looked up in a line for its fields, as columns, so that each look-up is made once however often it is used."""
+    return [(f"_at_{f}", column) for f, column in of.items()]
+
+
+def _at(field: str) -> Column:
+    return F.col(f"_at_{field}")
+
+
 def _common(line: Column) -> list[Column]:
     part = lambda k: F.get("_parts", F.lit(k - 1))
     of = lambda k: F.get("_request", F.lit(k - 1))
@@ -65,46 +75,61 @@ def nginx_combined(line: Column) -> list[Column]:
 
 
 def _json(line: Column, *names: str) -> Column:
-    """The value of the first of the names that is present, even if that is null."""
-    keys = F.json_object_keys(line)
+    """The value of the first of the names that is present, even if that is null. _keys: the line's own names."""
     out: Column = F.lit(None).cast("string")
     for name in reversed(names):
-        out = F.when(F.array_contains(keys, name), F.get_json_object(line, f"$['{name}']")).otherwise(out)
+        out = F.when(F.array_contains("_keys", name), F.get_json_object(line, f"$['{name}']")).otherwise(out)
     return out
 
 
-def nginx_json(line: Column) -> list[Column]:
+def _nginx_found(line: Column) -> list[tuple[str, Column]]:
     at = lambda *names: _json(line, *names)
+    return [("_keys", F.json_object_keys(line)), *_found({
+        "ts": at("time_iso8601", "time", "timestamp", "ts"), "ip": at("remote_addr", "ip"), "method": at("request_method", "method"), "path": at("request_uri", "uri", "path"),
+        "status": at("status"), "bytes": at("body_bytes_sent", "bytes"), "ua": at("http_user_agent", "user_agent", "ua"), "referer": at("http_referer", "referer", "referrer"),
+        "response_ms": at("request_time"),
+    })]
+
+
+def _fields(response_ms: Callable[[Column], Column]) -> list[Column]:
+    """The event's fields from what was found."""
     return [
-        n.event_time(at("time_iso8601", "time", "timestamp", "ts")).alias("ts"), at("remote_addr", "ip").alias("ip"), n.method(at("request_method", "method")).alias("method"),
-        n.path(at("request_uri", "uri", "path")).alias("path"), n.status(at("status")).alias("status"), n.size(at("body_bytes_sent", "bytes")).alias("bytes"),
-        n.text(at("http_user_agent", "user_agent", "ua")).alias("ua"), n.text(at("http_referer", "referer", "referrer")).alias("referer"),
-        n.seconds_to_millis(at("request_time")).alias("response_ms"),
+        n.event_time(_at("ts")).alias("ts"), _at("ip").alias("ip"), n.method(_at("method")).alias("method"), n.path(_at("path")).alias("path"), n.status(_at("status")).alias("status"),
+        n.size(_at("bytes")).alias("bytes"), n.text(_at("ua")).alias("ua"), n.text(_at("referer")).alias("referer"), response_ms(_at("response_ms")).alias("response_ms"),
     ]
 
 
-def caddy_json(line: Column) -> list[Column]:
+def nginx_json(line: Column) -> list[Column]:
+    return _fields(n.seconds_to_millis)
+
+
+def _caddy_found(line: Column) -> list[tuple[str, Column]]:
     at = lambda path: F.get_json_object(line, path)
-    headers = F.from_json(at("$.request.headers"), "map<string,array<string>>")
 
     def header(name: str) -> Column:
-        found = F.map_values(F.map_filter(headers, lambda k, _: F.lower(k) == name))
+        found = F.map_values(F.map_filter("_headers", lambda k, _: F.lower(k) == name))
         return F.get(F.get(found, F.lit(0)), F.lit(0))
 
-    return [
-        n.event_time(at("$.ts")).alias("ts"), F.coalesce(at("$.request.remote_ip"), at("$.request.client_ip")).alias("ip"), n.method(at("$.request.method")).alias("method"),
-        n.path(at("$.request.uri")).alias("path"), n.status(at("$.status")).alias("status"), n.size(at("$.size")).alias("bytes"), n.text(header("user-agent")).alias("ua"),
-        n.text(header("referer")).alias("referer"), n.seconds_to_millis(at("$.duration")).alias("response_ms"),
-    ]
+    return [("_headers", F.from_json(at("$.request.headers"), "map<string,array<string>>")), *_found({
+        "ts": at("$.ts"), "ip": F.coalesce(at("$.request.remote_ip"), at("$.request.client_ip")), "method": at("$.request.method"), "path": at("$.request.uri"), "status": at("$.status"),
+        "bytes": at("$.size"), "ua": header("user-agent"), "referer": header("referer"), "response_ms": at("$.duration"),
+    })]
 
 
-def cloudflare_ndjson(line: Column) -> list[Column]:
+def caddy_json(line: Column) -> list[Column]:
+    return _fields(n.seconds_to_millis)
+
+
+def _cloudflare_found(line: Column) -> list[tuple[str, Column]]:
     at = lambda name: F.get_json_object(line, f"$.{name}")
-    return [
-        n.event_time(at("EdgeStartTimestamp")).alias("ts"), at("ClientIP").alias("ip"), n.method(at("ClientRequestMethod")).alias("method"), n.path(at("ClientRequestURI")).alias("path"),
-        n.status(at("EdgeResponseStatus")).alias("status"), n.size(at("EdgeResponseBytes")).alias("bytes"), n.text(at("ClientRequestUserAgent")).alias("ua"),
-        n.text(at("ClientRequestReferer")).alias("referer"), n.millis(at("OriginResponseDurationMs")).alias("response_ms"),
-    ]
+    return _found({
+        "ts": at("EdgeStartTimestamp"), "ip": at("ClientIP"), "method": at("ClientRequestMethod"), "path": at("ClientRequestURI"), "status": at("EdgeResponseStatus"),
+        "bytes": at("EdgeResponseBytes"), "ua": at("ClientRequestUserAgent"), "referer": at("ClientRequestReferer"), "response_ms": at("OriginResponseDurationMs"),
+    })
+
+
+def cloudflare_ndjson(line: Column) -> list[Column]:
+    return _fields(n.millis)
 
 
 def json_path(dotted: str) -> str:
@@ -117,12 +142,12 @@ def jsonl(line: Column, field_map: dict[str, str]) -> list[Column]:
     missing = [f for f in REQUIRED if f != "bytes" and f not in field_map]
     if missing:
         raise ValueError(f"field map lacks {', '.join(missing)}")
-    at = lambda f: F.get_json_object(line, json_path(field_map[f])) if f in field_map else F.lit(None).cast("string")
-    return [
-        n.event_time(at("ts")).alias("ts"), at("ip").alias("ip"), n.method(at("method")).alias("method"), n.path(at("path")).alias("path"), n.status(at("status")).alias("status"),
-        (n.size(at("bytes")) if "bytes" in field_map else F.lit(0).cast("bigint")).alias("bytes"), n.text(at("ua")).alias("ua"), n.text(at("referer")).alias("referer"),
-        n.millis(at("response_ms")).alias("response_ms"),
-    ]
+    ts, ip, method, path, status, size, *rest = _fields(n.millis)
+    return [ts, ip, method, path, status, size if "bytes" in field_map else F.lit(0).cast("bigint").alias("bytes"), *rest]
+
+
+def _jsonl_found(line: Column, field_map: dict[str, str]) -> list[tuple[str, Column]]:
+    return _found({f: F.get_json_object(line, json_path(field_map[f])) if f in field_map else F.lit(None).cast("string") for f in FIELDS})
 
 
 FORMATS: dict[str, Callable[[Column], list[Column]]] = {
@@ -130,7 +155,10 @@ FORMATS: dict[str, Callable[[Column], list[Column]]] = {
 }
 
 #: What is taken from a line once, before its fields.
-PREPARED: dict[str, Callable[[Column], list[tuple[str, Column]]]] = {"apache": _clf(rf"(?: {_QUOTED} {_QUOTED})?"), "nginx-combined": _clf(rf" {_QUOTED} {_QUOTED}")}
+PREPARED: dict[str, Callable[[Column], list[tuple[str, Column]]]] = {
+    "apache": _clf(rf"(?: {_QUOTED} {_QUOTED})?"), "nginx-combined": _clf(rf" {_QUOTED} {_QUOTED}"),
+    "nginx-json": _nginx_found, "caddy-json": _caddy_found, "cloudflare-ndjson": _cloudflare_found,
+}
 
 
 def parse(lines: DataFrame, format: str, field_map: dict[str, str] | None = None) -> DataFrame:
@@ -141,13 +169,16 @@ def parse(lines: DataFrame, format: str, field_map: dict[str, str] | None = None
     line = F.col("line")
     if format == "jsonl":
         fields = jsonl(line, field_map) if field_map else [F.lit(None).cast("string").alias(f) for f in FIELDS]
+        prepared = _jsonl_found(line, field_map) if field_map else []
     else:
-        fields = FORMATS[format](line)
+        fields, prepared = FORMATS[format](line), PREPARED[format](line)
     kept = [F.col(f"`{c}`") for c in bare.columns]
-    for name, column in PREPARED.get(format, lambda _: [])(line):
+    for name, column in prepared:
         bare = bare.withColumn(name, column)
-    # as rows of a generator, so that no condition on the fields is moved down into them, where it would repeat them
-    got = bare.select(*kept, F.inline(F.array(F.struct(*fields))))
+    # first as columns, each of which is computed once; a generator would compute what they share anew for each. Then as
+    # rows of a generator, so that no condition on the fields is moved down into them, where it would repeat them
+    made = bare.select(*kept, *[column.alias(f"_made_{f}") for f, column in zip(FIELDS, fields, strict=True)])
+    got = made.select(*kept, F.inline(F.array(F.struct(*[F.col(f"_made_{f}").alias(f) for f in FIELDS]))))
     address = F.trim(F.coalesce(F.col("ip").cast("string"), F.lit("")))
     got = got.withColumn("ip", F.when(~address.isin("", "-"), address))
     ok = F.lit(True)

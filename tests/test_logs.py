@@ -3,7 +3,9 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
+from hitscope.functions import logfields
 from hitscope.sources import logs, sinks
 
 GOOD = '203.0.113.9 - - [10/Jun/2024:12:30:00 +0200] "get /a?x=1 HTTP/1.1" 200 512 "https://x.example/" "Agent \\"q\\" 1"'
@@ -46,3 +48,25 @@ def test_jsonl(spark):
 def test_csv_text():
     assert sinks.to_csv([]) == ""
     assert sinks.to_csv([{"a": 'x"y', "b": None}, {"a": "p,q", "b": 1}]) == 'a,b\n"x""y",\n"p,q",1\n'
+
+
+def test_times_and_methods(spark):
+    """Times of the common shape are read by a shorter way; it gives what the longer one gives."""
+    times = ["2024-06-10T12:30:00Z", "2024-06-10 12:30:00.123456", "2024-06-10T12:30:00z", "2024-06-10T12:30:00.5+02:00", "2024-06-10T12:30", "2024-06-10", "2024-02-30T12:30:00Z", "2024-06-10T12:30:00ZZ", "T2024", "2024-06-10T25:30:00Z"]
+    df = spark.createDataFrame([(x,) for x in times], "x string")
+    rows = df.select("x", logfields.iso_time(F.col("x")).alias("a"), logfields._any_iso_time(F.col("x")).alias("b")).collect()
+    assert [r["a"] for r in rows] == [r["b"] for r in rows]
+    assert [r["a"] is None for r in rows] == [False] * 6 + [True] * 4
+    clf = ["10/Jun/2024:12:30:00 +0200", "10/jun/2024:12:30:00 +0200", "1/Jun/2024:12:30:00 +0200", "10/Jun/2024:12:30:00 -0030", "31/Feb/2024:12:30:00 +0000"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in clf], "x string").select(logfields.clf_time(F.col("x"))).collect()]
+    assert got == [dt.datetime(2024, 6, 10, 10, 30), None, None, dt.datetime(2024, 6, 10, 13, 0), None]
+    words = ["get", " Post ", "M-SEARCH", "g\u0131t", "g\u00e9t", "a b", ""]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in words], "x string").select(logfields.method(F.col("x"))).collect()]
+    assert got == ["GET", "POST", "M-SEARCH", "GIT", None, None, None]
+
+
+@pytest.mark.parametrize("name", ["nginx-json", "caddy-json", "cloudflare-ndjson"])
+def test_each_lookup_is_made_once(spark, name):
+    """A field is looked up in the line once, not anew wherever its value is used."""
+    plan = logs.parse(spark.createDataFrame([("{}",)], "line string").repartition(2), name)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("get_json_object(") <= 21  # names that nginx fields may have
