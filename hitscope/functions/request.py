@@ -43,8 +43,8 @@ def query(path: Column) -> Column:
 def path_group(path: Column) -> Column:
     """Segments that look like identifiers become :id; one trailing slash goes."""
     trimmed = F.when(F.endswith(path, F.lit("/")), path.substr(F.lit(1), F.char_length(path) - 1)).otherwise(path)
-    dynamic = lambda s: s.rlike(r"\A(?:[0-9]+|(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})|(?i:[0-9a-f]{8,}))\z") | (F.char_length(s) > 32)
-    joined = F.array_join(F.transform(F.split(trimmed, "/"), lambda s: F.when(dynamic(s), ":id").otherwise(s)), "/")
+    # one pattern over the whole path: an identifier between slashes or the ends
+    joined = F.regexp_replace(trimmed, r"(?<![^/])(?:[0-9]+|(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})|(?i:[0-9a-f]{8,})|[^/]{33,})(?![^/])", ":id")
     return F.when(joined == "", "/").otherwise(joined)
 
 
@@ -57,9 +57,8 @@ def _clean(url: Column) -> Column:
     return F.regexp_replace(F.trim(url), r"[\t\n\r]", "")
 
 
-def referral(referer: Column, query_string: Column) -> Column:
-    """The assistant that sent the visit, or ''. The referer counts before utm_source."""
-    utm = F.map_from_arrays(F.array(*map(F.lit, UTM_SOURCES)), F.array(*map(F.lit, UTM_SOURCES.values())))
+def referral_by_host(referer: Column) -> Column:
+    """The assistant whose pages the referer is one of, or ''."""
 
     def as_url(r: Column) -> Column:
         bare = ~r.rlike(r"(?i)^[a-z][a-z0-9+.-]*:") & r.rlike(_BARE)
@@ -75,13 +74,20 @@ def referral(referer: Column, query_string: Column) -> Column:
             named = F.when(hit & u["path"].rlike(where) if where else hit, source).otherwise(named)
         return F.when(u["scheme"].isin("http", "https") & (u["host"] != ""), named)
 
-    def by_utm(q: Column) -> Column:
-        raw = F.regexp_extract(F.regexp_replace(q, r"^\?", ""), r"(?:^|&)utm_source=([^&]*)", 1)
-        value = let(raw, lambda v: F.lower(F.coalesce(F.try_url_decode(F.replace(v, F.lit("+"), F.lit(" "))), v)))
-        return F.try_element_at(utm, value)
+    return F.coalesce(let(let(let(_clean(F.coalesce(referer, F.lit(""))), as_url), host_of), by_host), F.lit(""))
 
-    from_host = let(let(let(_clean(F.coalesce(referer, F.lit(""))), as_url), host_of), by_host)
-    return F.coalesce(F.nullif(from_host, F.lit("")), by_utm(F.coalesce(query_string, F.lit(""))), F.lit(""))
+
+def referral_by_utm(query_string: Column) -> Column:
+    """The assistant that utm_source names, or ''."""
+    utm = F.map_from_arrays(F.array(*map(F.lit, UTM_SOURCES)), F.array(*map(F.lit, UTM_SOURCES.values())))
+    raw = F.regexp_extract(F.regexp_replace(query_string, r"^\?", ""), r"(?:^|&)utm_source=([^&]*)", 1)
+    value = let(raw, lambda v: F.lower(F.coalesce(F.try_url_decode(F.replace(v, F.lit("+"), F.lit(" "))), v)))
+    return F.when(F.contains(query_string, F.lit("utm_source=")), F.coalesce(F.try_element_at(utm, value), F.lit(""))).otherwise("")
+
+
+def referral(referer: Column, query_string: Column) -> Column:
+    """The assistant that sent the visit, or ''. The referer counts before utm_source."""
+    return F.coalesce(F.nullif(referral_by_host(referer), F.lit("")), referral_by_utm(F.coalesce(query_string, F.lit(""))))
 
 
 def referer_origin(referer: Column) -> Column:

@@ -103,18 +103,27 @@ def addresses(raw: DataFrame, dims: Dimensions) -> DataFrame:
     return each.withColumn("_asn", F.lit(None).cast("bigint")).withColumn("_country", F.lit(None).cast("string")).withColumn("_org", F.lit(None).cast("string"))
 
 
-def enrich(raw: DataFrame, dims: Dimensions, secret: str, source: str = "api") -> DataFrame:
+def referers(raw: DataFrame) -> DataFrame:
+    """(referer, _origin, _sent) for each distinct referer of raw events that is not empty; _sent: the assistant whose pages it is one of."""
+    each = raw.select("referer").filter("referer != ''").distinct()
+    scripts = F.col("referer").rlike(r"[^\x00-\x7F]")
+    sent = request.referral_by_host(F.col("referer")).alias("_sent")
+    plain = each.filter(~scripts).select("referer", request.referer_origin(F.col("referer")).alias("_origin"), sent)
+    return plain.unionByName(each.filter(scripts).select("referer", request.idna_origin(F.col("referer")).alias("_origin"), sent))
+
+
+def enrich(raw: DataFrame, dims: Dimensions, secret: str, source: str = "api", parts: int | None = None) -> DataFrame:
     """Valid raw events (RAW) to COLUMNS. Absent values are '' or 0, never null.
 
-    Agents, addresses and referers beyond ASCII are looked up once each, whatever the number of events; Spark
+    Agents, addresses and referers are looked up once each, whatever the number of events; Spark
     broadcasts what was found where it is small, and else joins by shuffle. A column session_start (of a stream's
-    state) gives the sessions' starts; without it they are found among these events.
+    state) gives the sessions' starts; without it they are found among these events, in `parts` tasks if given.
     """
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     one = raw.withColumn("_ua", text("ua")).withColumn("ip_hash", request.visitor_hash(F.col("ip"), F.col("ts"), secret))
     if "session_start" not in raw.columns:
         # first, so that the work on the columns comes after this shuffle and has its partitions
-        one = with_session_start(one, ["site_id", "ip_hash", "_ua"])
+        one = with_session_start(one, ["site_id", "ip_hash", "_ua"], parts=parts)
     one = one.join(agents(raw, dims.bots), "_ua", "left").join(addresses(raw, dims), "ip", "left")
     published = [r[0] for r in dims.ranges.select("bot_id").distinct().collect()] if dims.ranges is not None else []  # at most the registry's bots
     if dims.ptr is not None and dims.hosts is not None:
@@ -124,18 +133,17 @@ def enrich(raw: DataFrame, dims: Dimensions, secret: str, source: str = "api") -
         one = one.join(dims.rdns.select("ip", "bot_id", F.col("outcome").alias("_dns")), ["ip", "bot_id"], "left")
     else:
         one = one.withColumn("_dns", F.lit(""))
-    scripts = raw.select("referer").filter(F.col("referer").rlike(r"[^\x00-\x7F]")).distinct().withColumn("_origin", request.idna_origin(F.col("referer")))
-    one = one.join(scripts, "referer", "left")
+    one = one.join(referers(raw), "referer", "left")
     is_bot = F.col("actor_type") != "human"
     in_range, has_ranges = F.coalesce(F.array_contains("_in", F.col("bot_id")), F.lit(False)), F.col("bot_id").isin(published) if published else F.lit(False)
     wide = one.select(
         "site_id", "ts", "ip_hash", "session_start", F.when(is_bot, F.col("ip")).otherwise("").alias("bot_ip"),
-        F.upper("method").alias("method"), request.pathname(F.col("path")).alias("path"), request.path_group(request.pathname(F.col("path"))).alias("path_group"),
+        request.upper(F.col("method")).alias("method"), request.pathname(F.col("path")).alias("path"), request.path_group(request.pathname(F.col("path"))).alias("path_group"),
         F.lit("").alias("query"), F.col("status").cast("int").alias("status"), F.coalesce(F.col("bytes"), F.lit(0)).cast("bigint").alias("bytes"),
         F.floor(F.coalesce(F.col("response_ms"), F.lit(0.0)) + 0.5).cast("bigint").alias("response_ms"), F.col("_ua").alias("ua"), "actor_type", "bot_id", "operator",
         verification(F.col("bot_id"), F.col("_key"), in_range, has_ranges, dims.bots, F.coalesce("_dns", F.lit(""))).alias("verification"),
-        F.coalesce("_origin", request.referer_origin(F.col("referer"))).alias("referer"),
-        F.when(is_bot, "").otherwise(request.referral(F.col("referer"), request.query(F.col("path")))).alias("ai_referral"),
+        F.coalesce("_origin", F.lit("")).alias("referer"),
+        F.when(is_bot, "").when(F.coalesce("_sent", F.lit("")) != "", F.col("_sent")).otherwise(F.coalesce(request.referral_by_utm(request.query(F.col("path"))), F.lit(""))).alias("ai_referral"),
         F.lit("").alias("topic_id"), F.lit(source).alias("ingest_source"),
         F.when(text("country") != "", F.col("country")).otherwise(text("_country")).alias("country"),
         F.when(F.coalesce("asn", F.lit(0)) != 0, F.col("asn")).otherwise(F.coalesce("_asn", F.lit(0))).cast("bigint").alias("asn"),

@@ -27,8 +27,10 @@ def micros(ts: Column) -> Column:
     return whole * 1_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")
 
 
-def with_session_start(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
-    """Adds session_start. A key that holds very many rows is still one window; keys here end with the UTC day."""
+def with_session_start(df: DataFrame, keys: list[str], ts: str = "ts", parts: int | None = None) -> DataFrame:
+    """Adds session_start. A key that holds very many rows is still one window; keys here end with the UTC day. parts: how
+    many tasks sort the rows; by default as many as the shuffle has, whatever the number of rows."""
+    df = df.repartition(parts, *keys) if parts else df
     order = W.partitionBy(*keys).orderBy(ts)
     gap = F.col(ts) > F.lag(ts).over(order) + F.expr(f"interval {IDLE_MINUTES} minutes")
     begun = df.withColumn("_begin", F.when(F.coalesce(gap, F.lit(True)), F.col(ts)))

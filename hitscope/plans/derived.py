@@ -99,8 +99,14 @@ def dimensions(spark: SparkSession) -> Dimensions:
     )
 
 
+#: Events that a task sorts for their sessions, with the files that their pages load: some 150 MB.
+EVENTS_A_TASK = 200_000
+
+
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich(raw(spark, sf_dir), dimensions(spark), SECRET)
+    # the count comes from the files' footers
+    parts = spark.read.parquet(f"{sf_dir}/events.parquet").count() // EVENTS_A_TASK
+    return enrich(raw(spark, sf_dir), dimensions(spark), SECRET, parts=parts if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else None)
 
 
 _stored: dict[tuple[str, str], str] = {}

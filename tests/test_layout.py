@@ -3,13 +3,16 @@
 import datetime as dt
 import glob
 import http.server
+import re
 import threading
 
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from hitscope import textgen
-from hitscope.plans import alerts
+from hitscope.functions import request
+from hitscope.operators import enrich, sessions
+from hitscope.plans import alerts, derived
 from hitscope.sources import sinks
 
 
@@ -86,3 +89,32 @@ def test_posting_alerts():
         server.shutdown()
         server.server_close()
     assert not alerts.post_json(f"http://127.0.0.1:{server.server_port}/", timeout=1, retries=0)({})
+
+
+def test_no_task_sorts_more_as_events_grow(spark, tmp_path, monkeypatch):
+    """A file's writer and a task that finds sessions hold a bounded number of rows: more events are more tasks."""
+    assert sinks.ROWS_A_FILE <= 250_000
+    spark.range(3_000).select(
+        F.col("id").alias("event_id"), F.lit(dt.datetime(2024, 1, 1)).alias("ts"), (F.col("id") % 500).alias("user_id"), F.lit("click").alias("event_type"), F.lit(1.0).alias("value"),
+    ).write.parquet(str(tmp_path / "events.parquet"))
+    whole = sorted(map(tuple, derived.enriched(spark, str(tmp_path)).collect()), key=str)
+    monkeypatch.setattr(derived, "EVENTS_A_TASK", 100)
+    assert sorted(map(tuple, derived.enriched(spark, str(tmp_path)).collect()), key=str) == whole
+    started = sessions.with_session_start(derived.raw(spark, str(tmp_path)), ["site_id", "ip", "ua"], parts=30)
+    assert started.rdd.getNumPartitions() == 30
+
+
+def test_path_groups_and_referers_are_as_by_segment_and_event(spark):
+    long, uuid = "x" * 33, "3F2504e0-4f89-11d3-9a0c-0305e82c3301"
+    paths = ["/", "", "//", "/a/", "/12/34/5/x", "/12a", f"/{uuid}/", f"/{uuid}0", "/deadbeef", "/deadbee", "/DEADBEEF1/x/", f"/{long}", f"/{long[1:]}", f"/a/{long}/{long}", "12", "/1\n2/3", "/\U0001f600" + "y" * 32]
+    def one(p):
+        p = p[:-1] if p.endswith("/") else p
+        dynamic = lambda s: re.fullmatch(r"[0-9]+|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}|[0-9a-fA-F]{8,}", s) or len(s) > 32
+        return "/".join(":id" if dynamic(s) else s for s in p.split("/")) or "/"
+    got = {r[0]: r[1] for r in spark.createDataFrame([(p,) for p in paths], "p string").select("p", request.path_group(F.col("p"))).collect()}
+    assert got == {p: one(p) for p in paths}
+    urls = ["https://ChatGPT.com/x", "chatgpt.com", "https://b\u00fccher.example/", "", None, "https://www.bing.com/chat?q=1", "https://www.bing.com/"]
+    looked = {r["referer"]: (r["_origin"], r["_sent"]) for r in enrich.referers(spark.createDataFrame([(u,) for u in urls * 2], "referer string")).collect()}
+    assert looked == {
+        urls[0]: ("https://chatgpt.com", "chatgpt"), urls[1]: ("", "chatgpt"), urls[2]: ("https://xn--bcher-kva.example", ""), urls[5]: ("https://www.bing.com", "copilot"), urls[6]: ("https://www.bing.com", ""),
+    }
