@@ -99,7 +99,7 @@ def dimensions(spark: SparkSession) -> Dimensions:
     )
 
 
-#: Events that a task sorts for their sessions, with the files that their pages load: some 150 MB.
+#: Events that a task sorts for their sessions, with the files that their pages load: 280 MB at most over 6 million events.
 EVENTS_A_TASK = 200_000
 
 
