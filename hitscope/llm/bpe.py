@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-The new words of a whole chunk of the corpus are laid out as one sequence of symbols. An inverted index gives,
-for every rank, the places at which the pair of that rank stands; ranks are applied from the lowest, each at all
-its places in all words at once, and only the two neighbours of a merged pair are indexed anew. Finished words
-stay in a table of bounded size, so that a word is replayed once while it stays.
+The new words of a whole chunk of the corpus are laid out as one sequence of symbols. An inverted index of its pairs
+gives the places at which each stands, and these their rank; ranks are applied from the lowest, each at all its places,
+and only the two neighbours of a merged pair are indexed anew. Short words go in waves, in which all words at once
+apply the lowest rank that each still has; in long ones all places of one rank are applied after the other's. Finished
+words stay in a table of bounded size, so that a word is replayed once while it stays.
 
 Defined cases: a null text is empty and has no ids; repeated rows are encoded alike; extra columns are kept, but
 one named as the output is replaced; texts of any length are encoded whole.
@@ -32,6 +33,12 @@ from hitscope.llm.common import beside, documents
 TABLE_BYTES, LONGEST_KEPT, CHUNK_CHARS = 20_000_000, 64, 1_000_000
 #: About what a table entry takes besides its own characters.
 ENTRY_BYTES = 200
+#: Bytes of each table where little else shares the worker's memory, as in a query of its own.
+QUERY_TABLE_BYTES = 100_000_000
+#: Bytes of a word up to which it is replayed in waves, of which it needs fewer than it has bytes.
+SHORT = 64
+#: Higher than any rank: the pair is no token.
+NO_RANK = 2**31 - 1
 
 #: No match of the pre-tokenizer's pattern goes on from a character that is not white space to one that is.
 CUT = re.compile(r"(?<=\S)(?=[ \n])")
@@ -127,21 +134,93 @@ class MergeReplay:
         self.vocab = [b""] * (max(self.ranks.values()) + 1)
         for t, r in self.ranks.items():
             self.vocab[r] = t
-        self.byte_ids = [self.ranks[bytes([b])] for b in range(256)]
+        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.pattern = regex.compile(pattern)
-        self.pairs: dict[tuple[int, int], int] = {}
-        self.recent = Recent()
+        self.recent = Recent(QUERY_TABLE_BYTES)
         self.decimal = [str(r).encode() for r in range(len(self.vocab))]
+        self.pairs, self.pair_ranks = self._mergeable()
+        self.seen: dict[tuple[int, int], int] = {}
+
+    def _mergeable(self) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of tokens that are a token together, sorted, and the ranks of these; a last pair that is none."""
+        get = self.ranks.get
+        found = [
+            (a << 32 | b, r) for t, r in self.ranks.items() for i in range(1, len(t))
+            if (a := get(t[:i])) is not None and (b := get(t[i:])) is not None
+        ]
+        found.append((2**63 - 1, NO_RANK))
+        pairs, ranks = (np.array(x, np.int64) for x in zip(*sorted(found), strict=True))
+        return pairs, ranks.astype(np.int32)
+
+    def _ranks_at(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of the pair at each place, by an index of the pairs: each is looked up once, for all its places."""
+        pairs, places = np.unique(left.astype(np.int64) << 32 | right, return_inverse=True)
+        at = np.searchsorted(self.pairs, pairs)
+        return np.where(self.pairs[at] == pairs, self.pair_ranks[at], NO_RANK)[places]
+
+    def replay(self, words: list[bytes]) -> list[bytes]:
+        """Token ids of each word, as bytes."""
+        out = [b""] * len(words)
+        short, long = [], []
+        for i, w in enumerate(words):
+            whole = self.ranks.get(w)
+            if whole is not None:
+                out[i] = whole.to_bytes(4, "little")
+            elif w:
+                (short if len(w) <= SHORT else long).append(i)
+        for some, merged in ((short, self._in_waves), (long, self._by_rank)):
+            for i, ids in zip(some, merged([words[i] for i in some]), strict=True):
+                out[i] = ids
+        return out
+
+    def _in_waves(self, words: list[bytes]) -> list[bytes]:
+        """Short words: in each wave, every word's lowest rank is applied."""
+        out = [b""] * len(words)
+        word = np.arange(len(words))
+        size = np.array(list(map(len, words)), np.int64)
+        sym = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        rank = np.full(len(sym), NO_RANK, np.int32)
+        rank[:-1] = self._ranks_at(sym[:-1], sym[1:])
+        rank[np.cumsum(size) - 1] = NO_RANK
+        while len(word):
+            lowest = np.minimum.reduceat(rank, np.cumsum(size) - size)
+            done = lowest == NO_RANK
+            if done.any():
+                of = np.repeat(done, size)
+                raw, ends = sym[of].tobytes(), (4 * np.cumsum(size[done])).tolist()
+                for i, lo, hi in zip(word[done].tolist(), [0, *ends], ends, strict=False):
+                    out[i] = raw[lo:hi]
+                sym, rank = sym[~of], rank[~of]
+                word, size, lowest = word[~done], size[~done], lowest[~done]
+            due = np.repeat(lowest, size)
+            at = np.flatnonzero(rank == due)
+            # of places that overlap, every other one from the left
+            order = np.arange(len(at))
+            follows = np.concatenate(([False], at[1:] == at[:-1] + 1))[: len(at)]
+            at = at[(order - np.maximum.accumulate(np.where(follows, 0, order))) % 2 == 0]
+            sym[at] = due[at]
+            size = size - np.bincount(np.repeat(np.arange(len(size)), size)[at], minlength=len(size))
+            kept = np.ones(len(sym), bool)
+            kept[at + 1] = False
+            sym, rank, at = sym[kept], rank[kept], at - np.arange(len(at))
+            # the two neighbours of what was merged are indexed anew
+            last = np.zeros(len(sym), bool)
+            last[np.cumsum(size) - 1] = True
+            rank[at] = NO_RANK
+            touched = np.concatenate((at, at[at > 0] - 1))
+            touched = touched[~last[touched]]
+            rank[touched] = self._ranks_at(sym[touched], sym[touched + 1])
+        return out
 
     def _rank(self, a: int, b: int) -> int:
         r = self.ranks.get(self.vocab[a] + self.vocab[b], -1)
-        self.pairs[a, b] = r
+        self.seen[a, b] = r
         return r
 
-    def replay(self, words: list[bytes]) -> list[list[int]]:
-        """Token ids of each word."""
-        pairs, rank = self.pairs, self._rank
-        byte_ids = self.byte_ids
+    def _by_rank(self, words: list[bytes]) -> list[bytes]:
+        """Long words: the index has the places of every rank, and the ranks are applied one after another."""
+        pairs, rank = self.seen, self._rank
+        byte_ids = self.byte_ids.tolist()
         sym: list[int] = []
         starts: list[int] = []
         for w in words:
@@ -200,12 +279,8 @@ class MergeReplay:
                         else:
                             index[s] = [at]
                             heapq.heappush(heap, s)
-        out = []
         ends = [*starts[1:], n][: len(starts)]
-        for w, s, e in zip(words, starts, ends, strict=True):
-            whole = self.ranks.get(w)
-            out.append([whole] if whole is not None else [x for x in sym[s:e] if x >= 0])
-        return out
+        return [array("I", [x for x in sym[s:e] if x >= 0]).tobytes() for s, e in zip(starts, ends, strict=True)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """uint32 ids of each text."""
@@ -214,7 +289,7 @@ class MergeReplay:
     def _new(self, new: list[str]) -> list[bytes]:
         parts = [[m.encode() for m in self.pattern.findall(p)] for p in new]
         words = list({w for ws in parts for w in ws})
-        ids = dict(zip(words, (array("I", x).tobytes() for x in self.replay(words)), strict=True))
+        ids = dict(zip(words, self.replay(words), strict=True))
         return [ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws]) for ws in parts]
 
     def decode(self, ids: list[int]) -> bytes:
