@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hitscope.llm.bpe import Recent, chunks, tokenizer_file
+from hitscope.llm.bpe import QUERY_TABLE_BYTES, TABLE_BYTES, Recent, chunks, tokenizer_file
 from hitscope.llm.common import documents, materialize
 
 WINDOW, CLOSING = 1024, 0
@@ -125,7 +125,7 @@ class Tokens:
     ids, and taken apart by their lengths in bytes. A text that holds an added token's string goes to the library
     whole, since the library cuts texts there first."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, table_bytes: int = TABLE_BYTES):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -135,7 +135,7 @@ class Tokens:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         n = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.bytes_of = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(n)], np.int64)
-        self.recent = Recent()
+        self.recent = Recent(table_bytes)
 
     def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -178,8 +178,8 @@ class Tokens:
 
 
 @lru_cache(maxsize=2)
-def tokens(path: str) -> Tokens:
-    return Tokens(path)
+def tokens(path: str, table_bytes: int = TABLE_BYTES) -> Tokens:
+    return Tokens(path, table_bytes)
 
 
 _CUT = pa.schema([
@@ -188,11 +188,11 @@ _CUT = pa.schema([
 _PIECE = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
 
-def _cut(path: str, window: int):
+def _cut(path: str, window: int, table_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        t, part = tokens(path), TaskContext.get().partitionId()
+        t, part = tokens(path, table_bytes), TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
         closing = CLOSING.to_bytes(4, "little")
         step = 4 * window
@@ -241,11 +241,12 @@ def _place(rows: list[tuple[int, int, int, int, int, int, int]], bins: int, wind
     return run
 
 
-def pack(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
-    """(doc_id, text) to pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack(docs: DataFrame, path: str, window: int = WINDOW, table_bytes: int = TABLE_BYTES) -> DataFrame:
+    """(doc_id, text) to pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. table_bytes: of each of
+    a worker's two tables of encoded pieces; the smaller, the more is encoded again."""
     cut = materialize(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-            _cut(path, window),
+            _cut(path, window, table_bytes),
             "doc_id long, doc_tokens long, full_crcs array<long>, tail binary, r int, part int, rank long, full_rank long",
         ),
         "pack-tokens",
@@ -269,4 +270,4 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
+    return pack(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), table_bytes=QUERY_TABLE_BYTES)

@@ -1,8 +1,8 @@
-"""What tokenizing costs: how often merges are looked up."""
+"""What tokenizing costs: how often merges are looked up, and how long finished pieces are kept."""
 
 import numpy as np
 
-from hitscope.llm import bpe
+from hitscope.llm import bpe, packing
 
 
 def plain(codec, word):
@@ -31,3 +31,14 @@ def test_words_of_a_chunk_are_replayed_together(monkeypatch):
     got = codec.replay(words)
     assert len(calls) <= bpe.SHORT
     assert [np.frombuffer(x, np.uint32).tolist() for x in got] == [plain(codec, w) for w in words]
+
+def test_packing_query_encodes_a_piece_once():
+    words = list({"".join(w) for w in invented(400_000, 2)})[:200_000]
+    t = packing.Tokens(packing.tokenizer_file("byte_bpe_50k.json"), packing.QUERY_TABLE_BYTES)
+    texts = ["".join(words[i : i + 2000]) for i in range(0, len(words), 2000)]
+    first = [x for part in bpe.chunks(texts) for x in t.ids(part)]
+    encoded = []
+    t._new = lambda new, real=t._new: encoded.extend(new) or real(new)
+    again = [x for part in bpe.chunks(texts) for x in t.ids(part)]
+    assert again == first
+    assert not encoded
