@@ -28,8 +28,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each group of near copies: five-word Jaccard of 0.8 or more, verified.
 
-    The SimHash of op10 (three words, 3 of 64 bits) finds few of these pairs; its multi-index hashing is applied to the
-    shingle sets themselves, so that none is missed.
+    Pairs are proposed by multi-index hashing of SimHash fingerprints over five words; an index of the shingle sets
+    themselves proposes those whose fingerprints lie too far apart, so that none is missed.
     """
     return nearcopies.near_dedup(docs)
 

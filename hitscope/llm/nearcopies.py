@@ -1,10 +1,14 @@
-"""Near copies by multi-index hashing of whole shingle sets: all pairs with a Jaccard likeness of 0.8 or more over five words.
+"""Near copies by SimHash and multi-index hashing: all pairs with a Jaccard likeness of 0.8 or more over five words.
 
-A SimHash at 3 of 64 bits links few of these pairs (they lie at 4 to 14 bits), and no index finds 14 of 64 bits short
-of comparing almost everything. Here the vector that is indexed is the set itself, one bit for each possible shingle:
-two sets of n and m shingles are this alike if their vectors differ in at most (n + m) / 9 bits. As in multi-index
-hashing, the vector is cut into segments, here ranges of the shingles' hashes, more of them than bits may differ, so
-that one segment at least is equal in both; a table of segment contents proposes pairs, which are then verified whole.
+Each set of shingles has a SimHash of 64 bits. Two segments of it are looked up with their balls of one bit, and pairs
+that meet there at RADIUS or fewer bits are verified by their whole sets. This misses no pair at 3 or fewer bits, but
+many that are alike: they lie at 4 to 14 bits, and no index finds 14 of 64 bits short of comparing almost everything.
+
+What the fingerprints miss is found exactly by indexing the set itself, one bit for each possible shingle: two sets of n
+and m shingles are this alike if their vectors differ in at most (n + m) / 9 bits. As in multi-index hashing, the vector
+is cut into segments, here ranges of the shingles' hashes, more of them than bits may differ, so that one segment at
+least is equal in both; a table of segment contents proposes pairs, of which those that the fingerprints have not
+proposed yet are verified whole.
 
 An empty segment tells nothing and is left out. A set with too few filled ones for the argument is cut once more, by
 other hashes, and so on; a pair of such sets meets there. How many segments there are depends on the size, in levels;
@@ -34,8 +38,11 @@ from pyspark.sql import types as T
 
 from hitscope.llm.common import beside, materialize
 from hitscope.llm.graph import connected_components
+from hitscope.llm.hamming import HASHES_AT_ONCE, majority, met
 
 SHINGLE = 5
+#: Bits up to which a pair of fingerprints that met is verified; sets this alike seldom lie further apart.
+RADIUS = 14
 #: The numbers of segments, one for each level.
 COUNTS = sorted({int(np.ceil(2 ** (i / 2))) for i in range(64)})
 #: Segments of each table part, which is sorted in one piece, and those that a task gathers before it deals them out.
@@ -75,6 +82,11 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(sums)
 
 
+def fingerprint(s: np.ndarray) -> int:
+    """The signed SimHash of a set of shingles; no shingles: zero."""
+    return majority(s[i : i + HASHES_AT_ONCE] for i in range(0, len(s), HASHES_AT_ONCE))
+
+
 def set_hash(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes())
 
@@ -159,15 +171,27 @@ def one_each(docs: DataFrame, marked: DataFrame) -> DataFrame:
 
 
 def _index(docs: DataFrame) -> DataFrame:
-    """(doc_id, _r, _q, h, n) for each row: the set's hash and size."""
+    """(doc_id, _r, _q, h, n, fp) for each row: the set's hash, size and fingerprint."""
 
-    def work(texts: list[str | None]) -> tuple[np.ndarray, list[int]]:
+    def work(texts: list[str | None]) -> tuple[np.ndarray, list[int], list[int]]:
         sets = list(map(shingles, texts))
-        return _signed(np.array(list(map(set_hash, sets)), U)), list(map(len, sets))
+        return _signed(np.array(list(map(set_hash, sets)), U)), list(map(len, sets)), list(map(fingerprint, sets))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_hashes(docs), "text")
     count = (T.LongType(), pa.int64())
-    return beside(rows, ["text"], [("h", *count), ("n", *count)], work, dropped=("text",))
+    return beside(rows, ["text"], [("h", *count), ("n", *count), ("fp", *count)], work, dropped=("text",))
+
+
+def proposed(index: DataFrame) -> DataFrame:
+    """Pairs (a, b), a > b, of different sets (h) that meet by their fingerprints (fp). Of sets with one fingerprint the
+    least meets those of other fingerprints, and its own."""
+    sets = materialize(index.select("fp", "h").distinct(), "near-sets")
+    least = materialize(sets.groupBy("fp").agg(F.min("h").alias("least"), F.count(F.lit(1)).alias("n")), "near-fingerprints")
+    own = sets.join(least.filter("n > 1"), "fp").select(F.col("h").alias("a"), F.col("least").alias("b"))
+    of = lambda key: least.select(F.col("fp").alias(key), F.col("least").alias(f"{key}h"))
+    others = met(least.select("fp"), RADIUS).join(of("a"), "a").join(of("b"), "b").select(F.col("ah").alias("a"), F.col("bh").alias("b"))
+    both = own.unionByName(others).filter("a != b")
+    return both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def _dealt(parts: int):
@@ -276,10 +300,14 @@ def marked(docs: DataFrame) -> DataFrame:
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (2 * PART_SEGMENTS))
     dealt = docs.select("text").mapInPandas(_dealt(parts), "part int, low binary, sets binary")
     held = materialize(dealt.groupBy("part").applyInPandas(_entries, "g long, h long, pivot long"), "near-held")
-    rows = index.join(held.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.min(F.struct("_r", "_q")).alias("o")).select("h", "o.*")
+    near = materialize(proposed(index), "near-proposed")
+    needed = held.select("h").unionByName(near.select(F.col("a").alias("h"))).unionByName(near.select(F.col("b").alias("h")))
+    rows = index.join(needed.distinct(), "h", "left_semi").groupBy("h").agg(F.min(F.struct("_r", "_q")).alias("o")).select("h", "o.*")
     texts = materialize(_texts(docs, rows), "near-texts")
-    met = held.filter("h != pivot").select(F.col("h").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = materialize(_verified(met, texts), "near-links")
+    links = materialize(_verified(near, texts), "near-links")
+    # the pivot is the least of its entry, as b is of a pair
+    missed = held.filter("h != pivot").select(F.col("h").alias("a"), F.col("pivot").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
+    links = links.unionByName(materialize(_verified(missed, texts), "near-links"))
     # an entry of two sets is done with after its one pair
     apart = held.join(held.groupBy("g").count().filter("count > 2").select("g"), "g", "left_semi").select("g", "h")
     for r in range(ROUNDS):
@@ -291,8 +319,8 @@ def marked(docs: DataFrame) -> DataFrame:
         if r == ROUNDS - 1 or n_pairs <= EASY * n_rows:
             break
         pivots = apart.groupBy("g").agg(F.min(F.struct(F.xxhash64("h", F.lit(r)), "h", "root")).alias("p"))
-        met = apart.join(pivots, "g").filter(F.col("root") != F.col("p.root")).select(F.col("h").alias("a"), F.col("p.h").alias("b")).distinct()
-        links = links.unionByName(materialize(_verified(met, texts), "near-links"))
+        tried = apart.join(pivots, "g").filter(F.col("root") != F.col("p.root")).select(F.col("h").alias("a"), F.col("p.h").alias("b")).distinct()
+        links = links.unionByName(materialize(_verified(tried, texts), "near-links"))
     if n_pairs:
         # sizes and bitmaps are compared inside the join, so that only pairs that may be alike become rows
         words = [F.get("p", F.lit(k)).alias(f"p{k}") for k in range(JOINED_WORDS)]

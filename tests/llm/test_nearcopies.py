@@ -108,3 +108,35 @@ def test_simhash_survivors_with_ids_null_or_repeated(spark):
     docs = spark.createDataFrame([(None, a), (None, b), (1, c), (1, d), (0, d), (0, d)], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["text"]) for r in simhash.near_dedup(docs).collect()), key=str)
     assert got == sorted([(None, a), (None, b), (1, c), (0, d)], key=str)
+
+
+def test_fingerprints_propose_pairs(spark, rows):
+    """All pairs at 3 or fewer bits are connected by what the fingerprints propose, and edited copies are among them."""
+    r = np.random.default_rng(5)
+    long = [list(r.choice([f"w{i}" for i in range(3000)], 600)) for _ in range(20)]
+    edited = [w[:300] + ["new"] + w[301:] for w in long]
+    texts = rows + [(1000 + i, " ".join(w)) for i, w in enumerate(long)] + [(2000 + i, " ".join(w)) for i, w in enumerate(edited)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    index = nearcopies._index(docs).select("doc_id", "h", "fp").collect()
+    by_id = {x["doc_id"]: x for x in index}
+    for i, t in texts:
+        hashed = nearcopies.shingles(t)
+        bits = sum(1 << k for k in range(64) if 2 * sum(int(x) >> k & 1 for x in hashed) > len(hashed))
+        assert by_id[i]["fp"] % 2**64 == bits
+    pairs = {(p["a"], p["b"]) for p in nearcopies.proposed(nearcopies._index(docs)).collect()}
+    assert all(a > b for a, b in pairs)
+    root = {x["h"]: x["h"] for x in index}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    apart = lambda x, y: (x["fp"] ^ y["fp"]).__and__(2**64 - 1).bit_count()
+    close = [(x["h"], y["h"]) for i, x in enumerate(index) for y in index[:i] if apart(x, y) <= 3]
+    assert len({c for c in close if c[0] != c[1]}) >= 10
+    assert all(find(x) == find(y) for x, y in close)
+    found = sum((max(a, b), min(a, b)) in pairs for i in range(20) for a, b in [(by_id[1000 + i]["h"], by_id[2000 + i]["h"])])
+    assert found >= 15
