@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitscope.llm import bpe, langid, nearcopies, packing, quality, substrings
-from hitscope.llm.common import shared_dir
+from hitscope.llm.common import bounded_batches, shared_dir
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language is rejected: texts without a letter, and those under the calibrated threshold."""
+    bounded_batches(spark)
     return langid.language_filter(docs)
 
 
@@ -31,6 +32,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Pairs are proposed by multi-index hashing of SimHash fingerprints over five words; an index of the shingle sets
     themselves proposes those whose fingerprints lie too far apart, so that none is missed.
     """
+    bounded_batches(spark)
     return nearcopies.near_dedup(docs)
 
 
@@ -39,6 +41,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Columns besides doc_id and text go through under names that nothing else uses.
     """
+    bounded_batches(spark)
     names = {c: c if c in ("doc_id", "text") else f"own_{i}" for i, c in enumerate(docs.columns)}
     found = substrings.substring_dedup(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]))
     changed = F.col("n_removed") > 0
@@ -51,6 +54,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the remaining texts into sequences of 1024 tokens."""
+    bounded_batches(spark)
     return packing.pack(docs, bpe.tokenizer_file("byte_bpe_50k.json"))
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from functools import wraps
 from typing import Any
 
 import pyarrow as pa
@@ -18,6 +20,8 @@ WORD_SPACE = " \t\n\x0b\x0c\r"
 WORD_SPLIT = "[ \\t-\\r]+"
 #: Rows whose values a worker holds as Python objects at once.
 ROWS_AT_ONCE = 500
+#: Bytes of an Arrow batch that a worker gets in the pipeline (Spark's own limit is 64 MB).
+BATCH_BYTES = 4_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +36,35 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on, batches of this session end at BATCH_BYTES, unless it names a limit of its own: an executor holds each
+    several times, as Arrow in its JVM and again in its worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Gives what this process has freed back to the system: what Arrow keeps, and the C library where it can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def giving_back(work: Callable[[Iterator[Any]], Iterator[Any]]) -> Callable[[Iterator[Any]], Iterator[Any]]:
+    """work, over the batches of a task, and give_back() after the last: workers outlive their tasks and stages."""
+
+    @wraps(work)
+    def run(batches: Iterator[Any]) -> Iterator[Any]:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def beside(df: DataFrame, sources: list[str], made: list[tuple[str, T.DataType, pa.DataType]], work: Callable[..., Sequence[Any]], dropped: tuple[str, ...] = ()) -> DataFrame:
     """df with columns made of others, in Arrow batches. work gets a list of values for each source and gives a sequence of
     values for each column in made. All other columns go through as they are: no key is ever a float, no time is cut short."""
@@ -48,7 +81,7 @@ def beside(df: DataFrame, sources: list[str], made: list[tuple[str, T.DataType,
                 columns = [batch.column(i) for i in range(len(kept))] + [pa.array(x, t) for x, (_, _, t) in zip(got, made, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, [*kept, *[n for n, _, _ in made]])
 
-    return sent.mapInArrow(run, T.StructType([*own, *[T.StructField(n, t) for n, t, _ in made]]))
+    return sent.mapInArrow(giving_back(run), T.StructType([*own, *[T.StructField(n, t) for n, t, _ in made]]))
 
 
 def unused(name: str, taken: list[str]) -> str:

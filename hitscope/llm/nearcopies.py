@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hitscope.llm.common import beside, materialize
+from hitscope.llm.common import beside, giving_back, materialize
 from hitscope.llm.graph import connected_components
 from hitscope.llm.hamming import HASHES_AT_ONCE, majority, met
 
@@ -228,7 +228,7 @@ def _dealt(parts: int):
         if size:
             yield slices(np.concatenate(g), np.concatenate(h))
 
-    return run
+    return giving_back(run)
 
 
 def _entries(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -260,15 +260,17 @@ def _texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
             yield pd.DataFrame({"h": pdf["h"], "n": list(map(len, sets)), "bits": list(map(parities, sets)), "text": pdf["text"], "p": [np.frombuffer(parities(s, 64 * JOINED_WORDS), np.int64) for s in sets]})
 
     found = docs.select(*row_hashes(docs), "text").join(_small(rows), ["_r", "_q"]).select("h", "text").dropDuplicates(["h"])
-    return found.mapInPandas(run, "h long, n long, bits binary, text string, p array<long>")
+    return found.mapInPandas(giving_back(run), "h long, n long, bits binary, text string, p array<long>")
 
 
+@giving_back
 def _may(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         near = [9 * differing(x, y) <= n + m and 4 * n <= 5 * m and 4 * m <= 5 * n for x, y, n, m in zip(pdf["x"], pdf["y"], pdf["n"], pdf["m"], strict=True)]
         yield pdf.loc[near, ["a", "b"]]
 
 
+@giving_back
 def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     last, other = None, np.empty(0, U)
     for pdf in batches:

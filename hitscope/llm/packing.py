@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hitscope.llm.bpe import QUERY_TABLE_BYTES, TABLE_BYTES, Recent, chunks, tokenizer_file
-from hitscope.llm.common import documents, materialize
+from hitscope.llm.common import documents, giving_back, materialize
 
 WINDOW, CLOSING = 1024, 0
 #: Rows of the table of first ranks up to which it is broadcast (some 40 bytes each); a larger one is joined by a shuffle.
@@ -216,7 +216,7 @@ def _cut(path: str, window: int, table_bytes: int):
                 yield pa.RecordBatch.from_arrays([keys.slice(at, len(some)), *columns], schema=_CUT)
                 at += len(some)
 
-    return run
+    return giving_back(run)
 
 
 def _place(rows: list[tuple[int, int, int, int, int, int, int]], bins: int, window: int):
@@ -238,7 +238,7 @@ def _place(rows: list[tuple[int, int, int, int, int, int, int]], bins: int, wind
                             out.append((doc, base + off, length, zlib.crc32(ids[off : off + length].tobytes()), n, first + rank - lo, at))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [()] * len(_PIECE))], schema=_PIECE)
 
-    return run
+    return giving_back(run)
 
 
 def pack(docs: DataFrame, path: str, window: int = WINDOW, table_bytes: int = TABLE_BYTES) -> DataFrame:

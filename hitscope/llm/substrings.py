@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hitscope.llm.common import beside, documents, materialize, unused
+from hitscope.llm.common import beside, documents, giving_back, materialize, unused
 
 WINDOW, PREFIX, LARGE = 35, 8, 1000
 PLACES = WINDOW - PREFIX + 1  # of an anchor within its window
@@ -143,6 +143,7 @@ def _chunks(pdf: pd.DataFrame) -> Iterator[tuple[int, list[bytes]]]:
         yield at, held
 
 
+@giving_back
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for _, texts in _chunks(pdf):
@@ -161,6 +162,7 @@ def _bits(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _filter_of(keys: DataFrame) -> np.ndarray:
     """A filter with the bits of all keys: 2 ** FILTER_LOG2 bits whatever the number of keys."""
 
+    @giving_back
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             bit = np.unique(np.concatenate(_bits(pdf["key"].to_numpy(np.int64).view(U))))
@@ -228,7 +230,7 @@ def _suffixes(repeated, large):
         if held:
             yield from _resolved(held)
 
-    return run
+    return giving_back(run)
 
 
 def _resolved(held: list[tuple[np.ndarray, ...]]) -> Iterator[pd.DataFrame]:
@@ -292,6 +294,7 @@ def _tree(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out)
 
 
+@giving_back
 def _trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held, n = [], 0
     for pdf in batches:
